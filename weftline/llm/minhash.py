@@ -219,52 +219,73 @@ def _fits(threshold: float) -> Column:
 def _across(members: DataFrame, vertices: DataFrame, threshold: float) -> DataFrame:
     """Pairs of one bucket whose ends lie in different components; wide buckets are cut by a second band first.
 
-    members: (key, a, n, comp) of all buckets that hold more than one component."""
-    sizes = materialize(members.groupBy("key").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi"), "sizes")
+    members: (key, a, n, comp, c) of all buckets that hold more than one component, c being the bucket's size."""
 
     def pairs(rows: DataFrame) -> DataFrame:
         x, y = rows.toDF("key", "a", "n_a", "comp_a"), rows.toDF("key", "b", "n_b", "comp_b")
         return x.join(y, "key").where((F.col("comp_a") < F.col("comp_b")) & _fits(threshold)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
-    narrow = members.join(sizes.where(F.col("c") <= WIDE).select("key"), "key").select("key", "a", "n", "comp")
-    wide = members.join(sizes.where(F.col("c") > WIDE).select("key"), "key").join(vertices.select("a", "bands"), "a")
+    narrow = members.where(F.col("c") <= WIDE).select("key", "a", "n", "comp")
+    wide = members.where(F.col("c") > WIDE).join(vertices.select("a", "bands"), "a")
     wide = wide.select("a", "n", "comp", "key", F.explode("bands").alias("band")).where("band <> key")
     wide = materialize(wide.select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "a", "n", "comp").distinct(), "wide")
     return materialize(pairs(narrow).union(pairs(wide)).distinct(), "across")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, counted: bool = False) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, class_id (the smallest doc_id that links reach), n_links (documents other
-    than itself linked directly among those compared, equal shingle sets included), kept (doc_id = class_id).
+def _open(inside: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """The members (key, a, n, comp, c, crossing) of buckets that still hold more than one component; crossing: pairs between them."""
+    members = inside.withColumn("comp", F.col("a")) if comp is None else inside.join(comp.withColumnRenamed("id", "a"), "a", "left").select("key", "a", "n", F.coalesce("component", "a").alias("comp"))
+    members = materialize(members, "members")
+    sizes = members.groupBy("key", "comp").count().groupBy("key").agg(F.sum("count").alias("c"), F.sum(F.col("count") * F.col("count")).alias("squares"), F.count("*").alias("parts"))
+    sizes = materialize(sizes.where("parts > 1").select("key", "c", ((F.col("c") * F.col("c") - F.col("squares")) / 2).alias("crossing")), "sizes")
+    return materialize(members.join(sizes, "key").select("key", "a", "n", "comp", "c", "crossing"), "open")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, counted: bool = False, rounds: int = 4) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, class_id (the smallest doc_id that links reach), kept (doc_id = class_id).
 
     A link joins two texts whose sets (or, ``counted``, bags) of ``size`` consecutive words reach the Jaccard
     similarity ``threshold``; words are runs of letters and digits in lower case. A text of fewer words is one shingle
     of them all. Texts without words, empty and null ones too, equal each other. Rows that share a doc_id are one
     document; a row without one has no class and is kept. An empty table gives no rows. Texts are taken whole.
-    With 25 bands of 5 a pair at 0.8 is found with probability 0.99995, and more at every higher similarity."""
+    With 25 bands of 5 a pair at 0.8 is found with probability 0.99995, and more at every higher similarity.
+
+    In each of ``rounds`` rounds the members of a bucket are compared with one of them, another each round; what then
+    lies in different components of one bucket is compared pair by pair."""
     base = materialize(sketches(docs, size, rows, bands, counted), "sketches")
     known = base.where("doc_id is not null")
-    groups = materialize(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("a"), F.count("*").alias("copies"), F.min_by("bands", "doc_id").alias("bands")), "groups")
-    vertices = groups.select("a", "n", "copies", "bands")
+    groups = materialize(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("a"), F.min_by("bands", "doc_id").alias("bands")), "groups")
+    vertices = groups.select("a", "n", "bands")
     keyed = vertices.select(F.explode("bands").alias("key"), "a", "n")
-    hubs = materialize(keyed.groupBy("key").agg(F.min_by(F.struct("a", "n"), "a").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", F.col("hub.a").alias("b"), F.col("hub.n").alias("n_b")), "hubs")
-    star = keyed.withColumnRenamed("n", "n_a").join(hubs, "key").where(F.col("a") != F.col("b")).where(_fits(threshold)).select("a", "b").distinct()
-    star = materialize(star, "star")
-    links = _verified(star, docs, threshold, size, counted)
-    comp = materialize(components(links), "comp")
-    shared = hubs.select("key")
-    inside = keyed.join(shared, "key").join(comp.withColumnRenamed("id", "a"), "a", "left").select("key", "a", "n", F.coalesce("component", "a").alias("comp"))
-    more = _across(materialize(inside, "inside"), vertices, threshold).join(star, ["a", "b"], "left_anti")
-    more = materialize(more, "more")
-    if more.head(1):
-        links = materialize(links.union(_verified(more, docs, threshold, size, counted)), "links")
+    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared")
+    inside = materialize(keyed.join(shared, "key"), "inside")
+    links, comp = None, None
+    for turn in range(rounds + 1):
+        members = _open(inside, comp)
+        n, crossing = members.agg(F.count("*"), F.sum(F.col("crossing") / F.col("c"))).first()
+        if not n:
+            break
+        last = turn == rounds or crossing <= 2 * n
+        if last:
+            pairs = _across(members, vertices, threshold)
+        else:
+            hub = F.struct(F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+            hubs = materialize(members.groupBy("key").agg(F.min_by(hub, F.xxhash64("a", F.lit(turn)) if turn else F.col("a")).alias("hub")).select("key", "hub.*"), "hubs")
+            star = members.withColumnRenamed("n", "n_a").join(hubs, "key").where((F.col("comp") != F.col("comp_b")) & _fits(threshold))
+            pairs = materialize(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star")
+        found = _verified(pairs, docs, threshold, size, counted)
+        links = found if links is None else materialize(links.union(found), "links")
+        release(pairs, members)
         comp = materialize(components(links), "comp")
-    degree = links.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("b").alias("o")), F.struct(F.col("b").alias("a"), F.col("a").alias("o")))).alias("e")).select("e.*")
-    degree = degree.join(vertices.select(F.col("a").alias("o"), "copies"), "o").groupBy("a").agg(F.sum("copies").alias("others"))
-    classes = groups.join(comp.withColumnRenamed("id", "a"), "a", "left").join(degree, "a", "left")
-    classes = materialize(classes.select("d1", "d2", "n", F.coalesce("component", "a").alias("class_id"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "classes")
-    out = known.join(classes, ["d1", "d2", "n"]).select("doc_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
-    return out.union(base.where("doc_id is null").select("doc_id", F.lit(None).cast("long"), F.lit(0).cast("long"), F.lit(True)))
+        if last:
+            break
+    if comp is None:
+        classes = groups.select("d1", "d2", "n", F.col("a").alias("class_id"))
+    else:
+        classes = groups.join(comp.withColumnRenamed("id", "a"), "a", "left").select("d1", "d2", "n", F.coalesce("component", "a").alias("class_id"))
+    classes = materialize(classes, "classes")
+    out = known.join(classes, ["d1", "d2", "n"]).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return out.union(base.where("doc_id is null").select("doc_id", F.lit(None).cast("long"), F.lit(True)))
 
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
