@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from . import licenses, secrets
+from .licenses import op10_license_scan
 from .minhash import op1_minhash_near_dedup
+from .secrets import op2_secret_scan
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_secret_scan": op2_secret_scan,
+    "op10_license_scan": op10_license_scan,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_secret_scan": secrets.SQL,
+    "op10_license_scan": licenses.SQL,
+}
