@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from . import licenses, secrets
+from . import licenses, secrets, topk
+from .bpe import op5_bpe
 from .licenses import op10_license_scan
 from .minhash import op1_minhash_near_dedup
+from .quality import op4_quality_classifier
 from .secrets import op2_secret_scan
+from .topk import op7_exact_topk
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_bpe": op5_bpe,
+    "op7_exact_topk": op7_exact_topk,
     "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
     "op2_secret_scan": secrets.SQL,
+    "op7_exact_topk": topk.SQL,
     "op10_license_scan": licenses.SQL,
 }
