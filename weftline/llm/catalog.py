@@ -6,7 +6,9 @@ from . import licenses, secrets, topk
 from .bpe import op5_bpe
 from .licenses import op10_license_scan
 from .minhash import op1_minhash_near_dedup
+from .mixing import op9_mixing
 from .quality import op4_quality_classifier
+from .resharding import op8_resharding
 from .secrets import op2_secret_scan
 from .topk import op7_exact_topk
 
@@ -16,6 +18,8 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_bpe": op5_bpe,
     "op7_exact_topk": op7_exact_topk,
+    "op8_resharding": op8_resharding,
+    "op9_mixing": op9_mixing,
     "op10_license_scan": op10_license_scan,
 }
 
