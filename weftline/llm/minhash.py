@@ -24,9 +24,8 @@ from .components import components
 from .textkernel import ALNUM, U, Hasher, buffers, lists, mix, ranges, words
 
 SHINGLE, THRESHOLD, ROWS, BANDS = 5, 0.8, 5, 25
-#: Of the 125 coordinates of two texts at the threshold 23 +- 4.4 differ in the four bits kept of each; a pair that differs in
-#: more standard deviations than these above the mean (one in 300,000 at the threshold) is no candidate.
-DEVIATIONS = 4.5
+#: Bits of a set's parity map; see :func:`_near`.
+BITS = 512
 #: A bucket of more members than this is cut by a second band before pairs across components are formed.
 WIDE = 64
 
@@ -102,6 +101,16 @@ def shingles(hasher: Hasher, data: np.ndarray, offs: np.ndarray, size: int) -> t
     return rows[at], sh[at], np.diff(np.append(at, len(rows)))
 
 
+def parity(row: np.ndarray, element: np.ndarray, count: np.ndarray | None, n_rows: int) -> np.ndarray:
+    """For each set (or bag, each copy of an element apart) whether an odd number of elements falls on each of BITS places."""
+    if count is not None:
+        at = np.repeat(np.arange(len(row)), count)
+        copy = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        row, element = row[at], element[at] ^ mix(copy.astype(np.uint64), 41)
+    odd = np.bincount(row * BITS + (mix(element, 42) % U(BITS)).astype(np.int64), minlength=n_rows * BITS) & 1
+    return np.packbits(odd.astype(bool).reshape(n_rows, BITS), axis=1).view(np.int64)
+
+
 def _sketch(size: int, k: int, per_band: int, counted: bool):
     bands = k // per_band
 
@@ -128,12 +137,10 @@ def _sketch(size: int, k: int, per_band: int, counted: bool):
                     for j in range(per_band):
                         acc = mix(acc ^ sig[:, b * per_band + j], 31)
                     key[:, b] = acc
-                four = np.zeros((n, -(-k // 16) * 16), np.uint64)
-                four[:, :k] = sig >> U(40) & U(15)
-                coords = np.bitwise_or.reduce(four.reshape(n, -1, 16) << (U(4) * np.arange(16, dtype=np.uint64)), axis=2)
+                odd = parity(row, sh, cnt if counted else None, n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(per.astype(np.int64)), lists(np.where(has, bands, 0), pa.array(key[has].reshape(-1).view(np.int64))), lists(np.full(n, coords.shape[1]), pa.array(coords.reshape(-1).view(np.int64)))],
-                    names=["doc_id", "d1", "d2", "n", "bands", "coords"],
+                    [batch.column(0).slice(lo, n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(per.astype(np.int64)), lists(np.where(has, bands, 0), pa.array(key[has].reshape(-1).view(np.int64))), lists(np.full(n, BITS // 64), pa.array(odd.reshape(-1)))],
+                    names=["doc_id", "d1", "d2", "n", "bands", "parity"],
                 )
 
     return run
@@ -141,9 +148,9 @@ def _sketch(size: int, k: int, per_band: int, counted: bool):
 
 def sketches(docs: DataFrame, size: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, counted: bool = False) -> DataFrame:
     """doc_id; d1, d2: a digest of the shingle set; n: its weight; bands: one key for each band (none for a text
-    without words); coords: four bits of each coordinate."""
+    without words); parity: the set's parity map."""
     tune(docs.sparkSession)
-    return texts(docs).select("doc_id", normalised(F.col("text")).alias("text")).mapInArrow(_sketch(size, rows * bands, rows, counted), "doc_id long, d1 long, d2 long, n long, bands array<long>, coords array<long>")
+    return texts(docs).select("doc_id", normalised(F.col("text")).alias("text")).mapInArrow(_sketch(size, rows * bands, rows, counted), "doc_id long, d1 long, d2 long, n long, bands array<long>, parity array<long>")
 
 
 def _sets(size: int, counted: bool):
@@ -223,46 +230,41 @@ def _fits(threshold: float) -> Column:
     return F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9
 
 
-def _near(threshold: float, k: int) -> Column:
-    """The texts' coordinates differ in no more places than a pair at the threshold may by chance."""
-    p = (1 - threshold) * 15 / 16
-    most = int(k * p + DEVIATIONS * (k * p * (1 - p)) ** 0.5) + 1
-    words = [F.col("coords_a")[i].bitwiseXOR(F.col("coords_b")[i]) for i in range(-(-k // 16))]
+def _near(threshold: float) -> Column:
+    """No pair that reaches the threshold fails this: a bit differs only where some element lies in just one of the sets."""
     differ = F.lit(0)
-    for z in words:
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
-        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
-        differ = differ + F.bit_count(z.bitwiseAND(F.lit(0x1111111111111111)))
-    return differ <= most
+    for i in range(BITS // 64):
+        differ = differ + F.bit_count(F.col("parity_a")[i].bitwiseXOR(F.col("parity_b")[i]))
+    return differ <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - threshold) / (1 + threshold)) + 1e-6
 
 
-def _across(members: DataFrame, vertices: DataFrame, threshold: float, k: int) -> DataFrame:
+def _across(members: DataFrame, vertices: DataFrame, threshold: float) -> DataFrame:
     """Pairs of one bucket whose ends lie in different components; wide buckets are cut by a second band first.
 
-    members: (key, a, n, coords, comp, c) of all buckets that hold more than one component, c being the bucket's size."""
+    members: (key, a, n, parity, comp, c) of all buckets that hold more than one component, c being the bucket's size."""
 
     def pairs(rows: DataFrame) -> DataFrame:
-        x, y = rows.toDF("key", "a", "n_a", "coords_a", "comp_a"), rows.toDF("key", "b", "n_b", "coords_b", "comp_b")
-        return x.join(y, "key").where((F.col("comp_a") < F.col("comp_b")) & _fits(threshold) & _near(threshold, k)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        x, y = rows.toDF("key", "a", "n_a", "parity_a", "comp_a"), rows.toDF("key", "b", "n_b", "parity_b", "comp_b")
+        return x.join(y, "key").where((F.col("comp_a") < F.col("comp_b")) & _fits(threshold) & _near(threshold)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
 
-    columns = ["key", "a", "n", "coords", "comp"]
+    columns = ["key", "a", "n", "parity", "comp"]
     narrow = members.where(F.col("c") <= WIDE).select(columns)
     wide = members.where(F.col("c") > WIDE).join(vertices.select("a", "bands"), "a")
-    wide = wide.select("a", "n", "coords", "comp", "key", F.explode("bands").alias("band")).where("band <> key")
-    wide = materialize(wide.select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "a", "n", "coords", "comp").distinct(), "wide")
+    wide = wide.select("a", "n", "parity", "comp", "key", F.explode("bands").alias("band")).where("band <> key")
+    wide = materialize(wide.select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "a", "n", "parity", "comp").distinct(), "wide")
     return materialize(pairs(narrow).union(pairs(wide)).distinct(), "across")
 
 
 def _open(inside: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """The members (key, a, n, coords, comp, c, crossing) of buckets that still hold more than one component; crossing: pairs between them."""
-    members = inside.withColumn("comp", F.col("a")) if comp is None else inside.join(comp.withColumnRenamed("id", "a"), "a", "left").select("key", "a", "n", "coords", F.coalesce("component", "a").alias("comp"))
+    """The members (key, a, n, parity, comp, c, crossing) of buckets that still hold more than one component; crossing: pairs between them."""
+    members = inside.withColumn("comp", F.col("a")) if comp is None else inside.join(comp.withColumnRenamed("id", "a"), "a", "left").select("key", "a", "n", "parity", F.coalesce("component", "a").alias("comp"))
     members = materialize(members, "members")
     sizes = members.groupBy("key", "comp").count().groupBy("key").agg(F.sum("count").alias("c"), F.sum(F.col("count") * F.col("count")).alias("squares"), F.count("*").alias("parts"))
     sizes = materialize(sizes.where("parts > 1").select("key", "c", ((F.col("c") * F.col("c") - F.col("squares")) / 2).alias("crossing")), "sizes")
-    return materialize(members.join(sizes, "key").select("key", "a", "n", "coords", "comp", "c", "crossing"), "open")
+    return materialize(members.join(sizes, "key").select("key", "a", "n", "parity", "comp", "c", "crossing"), "open")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, counted: bool = False, rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, counted: bool = False, rounds: int = 1) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id (the smallest doc_id that links reach), kept (doc_id = class_id).
 
     A link joins two texts whose sets (or, ``counted``, bags) of ``size`` consecutive words reach the Jaccard
@@ -275,9 +277,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     lies in different components of one bucket is compared pair by pair."""
     base = materialize(sketches(docs, size, rows, bands, counted), "sketches")
     known = base.where("doc_id is not null")
-    groups = materialize(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("a"), F.min_by(F.struct("bands", "coords"), "doc_id").alias("s")).select("d1", "d2", "n", "a", "s.*"), "groups")
-    vertices = groups.select("a", "n", "bands", "coords")
-    keyed = vertices.select(F.explode("bands").alias("key"), "a", "n", "coords")
+    groups = materialize(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("a"), F.min_by(F.struct("bands", "parity"), "doc_id").alias("s")).select("d1", "d2", "n", "a", "s.*"), "groups")
+    vertices = groups.select("a", "n", "bands", "parity")
+    keyed = vertices.select(F.explode("bands").alias("key"), "a", "n", "parity")
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared")
     inside = materialize(keyed.join(shared, "key"), "inside")
     links, comp = None, None
@@ -288,11 +290,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
             break
         last = turn == rounds or crossing <= 2 * n
         if last:
-            pairs = _across(members, vertices, threshold, rows * bands)
+            pairs = _across(members, vertices, threshold)
         else:
-            hub = F.struct(F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("coords").alias("coords_b"), F.col("comp").alias("comp_b"))
+            hub = F.struct(F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("parity_b"), F.col("comp").alias("comp_b"))
             hubs = materialize(members.groupBy("key").agg(F.min_by(hub, F.xxhash64("a", F.lit(turn)) if turn else F.col("a")).alias("hub")).select("key", "hub.*"), "hubs")
-            star = members.withColumnsRenamed({"n": "n_a", "coords": "coords_a"}).join(hubs, "key").where((F.col("comp") != F.col("comp_b")) & _fits(threshold) & _near(threshold, rows * bands))
+            star = members.withColumnsRenamed({"n": "n_a", "parity": "parity_a"}).join(hubs, "key").where((F.col("comp") != F.col("comp_b")) & _fits(threshold) & _near(threshold))
             pairs = materialize(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star")
         found = _verified(pairs, docs, threshold, size, counted)
         links = found if links is None else materialize(links.union(found), "links")
