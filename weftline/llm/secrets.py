@@ -100,12 +100,11 @@ def _kind(value: Column) -> Column:
     return F.when(F.rlike(value, F.lit(SHAPES["entropy_hex"])), "entropy_hex").when(F.rlike(value, F.lit(SHAPES["entropy_alnum"])), "entropy_alnum").otherwise("entropy_base64")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and ``spans``: array of (start, order, end, kind) by start, then kind as listed in KINDS.
+def with_spans(rows: DataFrame) -> DataFrame:
+    """(row, text) rows with ``spans``: array of (start, order, end, kind) by start, then kind as listed in KINDS.
 
     Spans are whole matches in code points, end exclusive. A match whose value is too short is dropped, but what it
-    took is not searched again. Added spans that lie within one of the three fixed kinds are not repeated. A null
-    text is the empty one; repeated rows and ids are each scanned; an empty table gives no rows."""
+    took is not searched again. Added spans that lie within one of the three fixed kinds are not repeated."""
     text = F.col("text")
     no_spans = F.array().cast("array<struct<start:int,end:int,value:string>>")
     low = F.lower(text)
@@ -119,8 +118,15 @@ def scan(docs: DataFrame) -> DataFrame:
     order = F.create_map(*(x for k in BITS for x in (F.lit(k), F.lit(KINDS.index(k)))))
     fresh = F.filter(F.col("rated"), lambda p: ~F.exists(F.col("base"), lambda b: (b["start"] <= p["start"]) & (b["end"] >= p["end"])))
     added = F.transform(fresh, lambda p: F.struct(p["start"].alias("start"), order[p["kind"]].alias("order"), p["end"].alias("end"), p["kind"].alias("kind")))
-    out = texts(docs).select("doc_id", "text", base.alias("base"), rated.alias("rated"))
-    return out.select("doc_id", "text", F.array_sort(F.concat("base", added)).alias("spans"))
+    out = rows.select("row", "text", base.alias("base"), rated.alias("rated"))
+    return out.select("row", "text", F.array_sort(F.concat("base", added)).alias("spans"))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, text and spans (see :func:`with_spans`) of every row of ``docs``, over its whole text.
+
+    A null text is the empty one; repeated rows and ids are each scanned; an empty table gives no rows."""
+    return with_spans(texts(docs).select(F.struct("doc_id").alias("row"), "text")).select("row.doc_id", "text", "spans")
 
 
 def _joined(spans: Column) -> Column:
@@ -140,6 +146,18 @@ def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))))
 
 
+def redacted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all their columns, with secrets masked in text and n_chars, where there is one, set anew.
+
+    Rows without secrets, null texts too, stay as they are."""
+    names = docs.columns
+    found = with_spans(docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce("text", F.lit("")).alias("text")))
+    found = found.select("row", F.size("spans").alias("n"), redact(F.col("text"), F.col("spans")).alias("masked"))
+    new = {"text": F.col("masked"), "n_chars": F.length("masked").cast("long")}
+    keep = lambda c: F.col("row").getField(c)
+    return found.select(*((F.when(F.col("n") > 0, new[c]).otherwise(keep(c)) if c in new else keep(c)).alias(c) for c in names))
+
+
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
