@@ -241,7 +241,8 @@ def _near(threshold: float) -> Column:
 def _across(members: DataFrame, vertices: DataFrame, threshold: float) -> DataFrame:
     """Pairs of one bucket whose ends lie in different components; wide buckets are cut by a second band first.
 
-    members: (key, a, n, parity, comp, c) of all buckets that hold more than one component, c being the bucket's size."""
+    members: (key, a, comp, c) of all buckets that hold more than one component, c being the bucket's size."""
+    members = members.join(vertices.select("a", "n", "parity"), "a")
 
     def pairs(rows: DataFrame) -> DataFrame:
         x, y = rows.toDF("key", "a", "n_a", "parity_a", "comp_a"), rows.toDF("key", "b", "n_b", "parity_b", "comp_b")
@@ -256,12 +257,12 @@ def _across(members: DataFrame, vertices: DataFrame, threshold: float) -> DataFr
 
 
 def _open(inside: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """The members (key, a, n, parity, comp, c, crossing) of buckets that still hold more than one component; crossing: pairs between them."""
-    members = inside.withColumn("comp", F.col("a")) if comp is None else inside.join(comp.withColumnRenamed("id", "a"), "a", "left").select("key", "a", "n", "parity", F.coalesce("component", "a").alias("comp"))
+    """The members (key, a, comp, c, crossing) of buckets that still hold more than one component; crossing: pairs between them."""
+    members = inside.withColumn("comp", F.col("a")) if comp is None else inside.join(comp.withColumnRenamed("id", "a"), "a", "left").select("key", "a", F.coalesce("component", "a").alias("comp"))
     members = materialize(members, "members")
     sizes = members.groupBy("key", "comp").count().groupBy("key").agg(F.sum("count").alias("c"), F.sum(F.col("count") * F.col("count")).alias("squares"), F.count("*").alias("parts"))
     sizes = materialize(sizes.where("parts > 1").select("key", "c", ((F.col("c") * F.col("c") - F.col("squares")) / 2).alias("crossing")), "sizes")
-    return materialize(members.join(sizes, "key").select("key", "a", "n", "parity", "comp", "c", "crossing"), "open")
+    return materialize(members.join(sizes, "key").select("key", "a", "comp", "c", "crossing"), "open")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, counted: bool = False, rounds: int = 1) -> DataFrame:
@@ -279,9 +280,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     known = base.where("doc_id is not null")
     groups = materialize(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("a"), F.min_by(F.struct("bands", "parity"), "doc_id").alias("s")).select("d1", "d2", "n", "a", "s.*"), "groups")
     vertices = groups.select("a", "n", "bands", "parity")
-    keyed = vertices.select(F.explode("bands").alias("key"), "a", "n", "parity")
+    keyed = vertices.select(F.explode("bands").alias("key"), "a")
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared")
-    inside = materialize(keyed.join(shared, "key"), "inside")
+    inside = materialize(keyed.join(shared.hint("merge"), "key"), "inside")  # a table that follows the input is not for broadcasting
     links, comp = None, None
     for turn in range(rounds + 1):
         members = _open(inside, comp)
@@ -292,10 +293,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
         if last:
             pairs = _across(members, vertices, threshold)
         else:
-            hub = F.struct(F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("parity_b"), F.col("comp").alias("comp_b"))
+            hub = F.struct(F.col("a").alias("b"), F.col("comp").alias("comp_b"))
             hubs = materialize(members.groupBy("key").agg(F.min_by(hub, F.xxhash64("a", F.lit(turn)) if turn else F.col("a")).alias("hub")).select("key", "hub.*"), "hubs")
-            star = members.withColumnsRenamed({"n": "n_a", "parity": "parity_a"}).join(hubs, "key").where((F.col("comp") != F.col("comp_b")) & _fits(threshold) & _near(threshold))
-            pairs = materialize(star.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "star")
+            star = members.join(hubs, "key").where(F.col("comp") != F.col("comp_b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            of = lambda x: vertices.select(F.col("a").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
+            star = star.join(of("a"), "a").join(of("b"), "b").where(_fits(threshold) & _near(threshold))
+            pairs = materialize(star.select("a", "b"), "star")
         found = _verified(pairs, docs, threshold, size, counted)
         links = found if links is None else materialize(links.union(found), "links")
         release(pairs, members)
