@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, replayable, texts, tune
+from .common import free_shuffles, materialize, replayable, texts, tune
 from .textkernel import Hasher, U, buffers
 
 #: Bytes of text in a block, but for a block of one longer text.
@@ -50,7 +50,7 @@ def units(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of any type as one compressed run of bytes."""
     head = np.array([len(arrays), *(x.nbytes for x in arrays)], "<u8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(x).tobytes() for x in arrays))
+    return zstandard.ZstdCompressor(level=6).compress(head + b"".join(np.ascontiguousarray(x).tobytes() for x in arrays))
 
 
 def _planes(x: np.ndarray) -> np.ndarray:
@@ -265,8 +265,8 @@ def encode_decode(keyed: DataFrame, model: str, block: int = BLOCK, buckets: int
     buckets = buckets or 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     held = spark.sparkContext.broadcast(model)
     bundles = keyed.mapInArrow(_bundles(block, buckets), "bucket int, block long, data binary")
-    words = bundles.groupBy("bucket").applyInArrow(_encoder(held), "block long, data binary, used array<int>")
-    words = materialize(words, "words")
+    words = materialize(bundles.groupBy("bucket").applyInArrow(_encoder(held), "block long, data binary, used array<int>"), "words")
+    free_shuffles(spark)
     used = words.select("block", F.explode("used").alias("id")).distinct().join(F.broadcast(pieces(spark, model)), "id")
     spelled = used.groupBy("block", F.pmod("id", F.lit(8)).alias("part")).agg(F.collect_list(F.struct("id", "piece")).alias("s"))
     nothing = F.lit(None)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished plans now, not when the driver next happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(*frames: DataFrame) -> None:
     """Deletes tables that :func:`materialize` wrote and that nothing will read again."""
     for df in frames:
@@ -84,5 +91,5 @@ def replayable(docs: DataFrame, tag: str) -> DataFrame:
 
     Kernels that number blocks of rows run more than once over the same input, so the numbers must not change."""
     plan = docs._jdf.queryExecution().executedPlan().toString()
-    moves = any(x in plan for x in ("Exchange", "Scan ExistingRDD", "LocalTableScan", "InMemory", "MapInArrow", "MapInPandas", "Union"))
+    moves = any(x in plan for x in ("Exchange", "Scan ExistingRDD", "LocalTableScan", "InMemoryTableScan", "MapInArrow", "MapInPandas", "Union"))
     return materialize(docs, tag) if moves else docs

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, texts, tune
+from .common import free_shuffles, materialize, release, texts, tune
 from .components import components
 from .textkernel import ALNUM, U, Hasher, buffers, lists, mix, ranges, words
 
@@ -283,6 +283,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     keyed = vertices.select(F.explode("bands").alias("key"), "a")
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared")
     inside = materialize(keyed.join(shared.hint("merge"), "key"), "inside")  # a table that follows the input is not for broadcasting
+    free_shuffles(docs.sparkSession)
     links, comp = None, None
     for turn in range(rounds + 1):
         members = _open(inside, comp)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import BLOCK, _blocks, _pack, _planes, _unpack, _unplanes, gather
-from .common import materialize, replayable, texts, tune
+from .common import free_shuffles, materialize, replayable, texts, tune
 from .textkernel import SPACED, U, Hasher, buffers, words
 
 WINDOW, RUN, LONG = 13, 5, 50
@@ -265,13 +265,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, long:
     buckets = buckets or 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     columns, bundle = "block long, kind int, bucket int, keys array<long>, data binary", "bucket int, block long, data binary"
     repeated = materialize(docs.mapInArrow(_emit_minimizers(block, buckets, window, run), bundle).groupBy("bucket").applyInArrow(_join_minimizers, columns), "minimizers")
+    free_shuffles(spark)
     known = docs.mapInArrow(_texts(block), columns).union(repeated)
     edges = known.groupBy("block").applyInArrow(_emit_edges(buckets, window, run), bundle)
     replies = materialize(edges.groupBy("bucket").applyInArrow(_join_edges, columns), "edges")
+    free_shuffles(spark)
     out = known.union(replies).groupBy("block").applyInArrow(_finish(buckets, window, run, long), f"doc_id long, n_words long, n_removed long, kept string, spans array<{SPAN}>")
     if not verify:
         return out
     out = materialize(out, "kept")
+    free_shuffles(spark)
     asked = out.select(F.explode("spans").alias("s")).select(F.col("s.source_id").alias("doc_id"), F.struct("s.source_start", "s.n", "s.digest").alias("ask")).distinct()
     # requests of one source are dealt over rows, so that no source answers all of its own in one
     asked = materialize(asked.groupBy("doc_id", F.pmod(F.hash("ask"), F.lit(16)).alias("part")).agg(F.collect_list("ask").alias("asks")).drop("part"), "asks")
