@@ -3,14 +3,15 @@
 A word is a run of white space with the text that follows it: the pre-tokenizer never joins text to white space behind
 it, so words encode alone as they do in their text. Each block of documents is split into words once; its distinct words
 go, in bundles, to the bucket that their hash names. A bucket merges the bundles and encodes each distinct word once. The ids
-return to the block, where the words' positions put them in order. For decoding, the ids that a block uses are
-joined with the table of pieces."""
+return to the block, where the words' positions put them in order. For decoding, the ids of the block's distinct words are
+joined with the id-to-piece table, whose size is the vocabulary's, and the words' positions put the pieces in order."""
 
 from __future__ import annotations
 
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, materialize, replayable, texts, tune
+from .common import replayable, texts, tune
 from .textkernel import Hasher, U, buffers
 
 #: Bytes of text in a block, but for a block of one longer text.
-BLOCK = 8 << 20
+BLOCK = 12 << 20
 
 
 def _safe() -> np.ndarray:
@@ -156,8 +157,12 @@ def load(model: str):
 
 
 def _encoder(model):
+    loaded = []  # once a task
+
     def run(group: pa.Table) -> pa.Table:
-        tok = load(model.value)
+        if not loaded:
+            loaded.append(load(model.value))
+        tok = loaded[0]
         blocks, bundles, places = group.column("block").to_pylist(), [], []
         for raw in group.column("data"):
             where, lens, data = _unpack(raw.as_py(), "u1", "u1", "u1")
@@ -169,20 +174,18 @@ def _encoder(model):
         coded = pa.concat_arrays(bundles).dictionary_encode()
         at, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
         counts, flat = [], []
-        for lo in range(0, len(words), 20_000):
-            for e in tok.encode_batch_fast(words.slice(lo, 20_000).to_pylist(), add_special_tokens=False):
-                ids = e.ids
-                counts.append(len(ids))
-                flat.extend(ids)
-        counts, flat = np.array(counts, np.int64), np.array(flat, np.int64)
-        first, out, used, lo = np.cumsum(counts) - counts, [], [], 0
+        for lo in range(0, len(words), 2_000):
+            got = [e.ids for e in tok.encode_batch_fast(words.slice(lo, 2_000).to_pylist(), add_special_tokens=False)]
+            counts.append(np.array([len(ids) for ids in got], np.int64))
+            flat.append(np.fromiter(chain.from_iterable(got), np.int64))
+        counts, flat = np.concatenate(counts), np.concatenate(flat)
+        first, out, lo = np.cumsum(counts) - counts, [], 0
         for bundle, where in zip(bundles, places, strict=True):
             mine = at[lo : lo + len(bundle)]
             lo += len(bundle)
             ids = flat[gather(first[mine], counts[mine])]
             out.append(_pack(where, _planes(counts[mine]), _planes(ids)))
-            used.append(np.unique(ids).tolist())
-        return pa.table({"block": pa.array(blocks, pa.int64()), "data": pa.array(out, pa.binary()), "used": pa.array(used, pa.list_(pa.int32()))})
+        return pa.table({"block": pa.array(blocks, pa.int64()), "data": pa.array(out, pa.binary())})
 
     return run
 
@@ -200,56 +203,74 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def pieces(spark: SparkSession, model: str) -> DataFrame:
-    """(id, piece): the bytes of each id of the vocabulary, added tokens included."""
+def piece_table(model: str) -> list[tuple[int, bytes]]:
+    """The bytes of each id of the vocabulary by rising id, added tokens included."""
     spec, letters = json.loads(model), byte_letters()
     table = {i: bytes(letters[c] for c in token) for token, i in spec["model"]["vocab"].items()}
-    table |= {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}
-    return spark.createDataFrame([(i, bytearray(p)) for i, p in sorted(table.items())], "id int, piece binary")
-
-
-def _assemble(group: pa.Table) -> pa.Table:
-    """Texts of one block from its positions (kind 0), its words' ids (1) and the pieces of these ids (2)."""
-    kinds = np.array(group.column("kind").to_pylist())
-    row = lambda k: np.flatnonzero(kinds == k).tolist()
-    (main,) = row(0)
-    keys = group.column("keys")[main].as_py()
-    per, at, n = _unpack(group.column("data")[main].as_py(), "<i8", "u1", "<i8")
-    at, n = _unplanes(at).astype(np.int64), int(n[0])
-    counts, chunks = np.zeros(n, np.int64), []
-    for i in row(1):
-        where, got, ids = map(_unplanes, _unpack(group.column("data")[i].as_py(), "u1", "u1", "u1"))
-        counts[where] = got
-        chunks.append((where, got.astype(np.int64), ids))
-    first = np.cumsum(counts) - counts
-    flat = np.zeros(int(counts.sum()), np.int64)
-    for where, got, ids in chunks:
-        flat[gather(first[where], got)] = ids
-    known, spelled = [], []
-    for i in row(2):
-        known += group.column("ids")[i].as_py()
-        spelled += group.column("pieces")[i].as_py()
-    order = np.argsort(np.array(known, np.int64))
-    names = np.array(known, np.int64)[order]
-    lens = np.array([len(spelled[j]) for j in order], np.int64)
-    letters = np.frombuffer(b"".join(spelled[j] for j in order), np.uint8)
-    starts = np.cumsum(lens) - lens
-    spot = np.searchsorted(names, flat)
-    # each distinct word is spelled once, then the words of a text are put in a row
-    word_lens = np.add.reduceat(np.append(lens[spot], 0), np.append(first, len(flat)))[:n] if n else np.zeros(0, np.int64)
-    spelt = letters[gather(starts[spot], lens[spot])]
-    word_first = np.cumsum(word_lens) - word_lens
-    edge = np.zeros(len(per) + 1, np.int64)
-    np.cumsum(per, out=edge[1:])
-    ids, decoded = [], []
-    for d in range(len(per)):
-        w = at[edge[d] : edge[d + 1]]
-        ids.append(pa.array(flat[gather(first[w], counts[w])].astype(np.int32)))
-        decoded.append(spelt[gather(word_first[w], word_lens[w])].tobytes().decode("utf-8", "replace"))
-    off = np.zeros(len(per) + 1, np.int32)
-    np.cumsum([len(x) for x in ids], out=off[1:])
-    all_ids = pa.concat_arrays(ids) if ids else pa.array([], pa.int32())
-    return pa.table({"key": pa.array(keys, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(off), all_ids), "decoded": pa.array(decoded, pa.string())})
+    return sorted((table | {t["id"]: t["content"].encode() for t in spec.get("added_tokens", [])}).items())
+
+
+def pieces(spark: SparkSession, model: str) -> DataFrame:
+    """(id, piece)."""
+    return spark.createDataFrame([(i, bytearray(p)) for i, p in piece_table(model)], "id int, piece binary")
+
+
+def decode(coded: DataFrame, model: str) -> DataFrame:
+    """(key, text) of rows (key, ids): each id is joined with its piece, and the pieces are put in order by position.
+
+    Keys are distinct; null or empty ids make the empty text; an id that the vocabulary lacks raises an error, and bytes
+    that are no UTF-8 become replacement characters, as in the library."""
+    spark = coded.sparkSession
+    spots = coded.select("key", F.posexplode("ids").alias("pos", "id"))
+    found = spots.join(F.broadcast(pieces(spark, model)), "id", "left")  # as many rows as the vocabulary
+    found = found.withColumn("piece", F.when(F.col("piece").isNull(), F.raise_error(F.lit("an id has no piece")).cast("binary")).otherwise(F.col("piece")))
+    rows = found.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda s: s["piece"]).alias("pieces"))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b"".join(x or ()).decode("utf-8", "replace") for x in batch.column(1).to_pylist()], pa.string())], names=["key", "text"])
+
+    return coded.select("key").join(rows, "key", "left").mapInArrow(spell, "key long, text string")
+
+
+def _assemble(table):
+    def run(group: pa.Table) -> pa.Table:
+        """Texts of one block from its positions (kind 0) and its words' ids (1)."""
+        kinds = np.array(group.column("kind").to_pylist())
+        row = lambda k: np.flatnonzero(kinds == k).tolist()
+        (main,) = row(0)
+        keys = group.column("keys")[main].as_py()
+        per, at, n = _unpack(group.column("data")[main].as_py(), "<i8", "u1", "<i8")
+        at, n = _unplanes(at).astype(np.int64), int(n[0])
+        counts, chunks = np.zeros(n, np.int64), []
+        for i in row(1):
+            where, got, ids = map(_unplanes, _unpack(group.column("data")[i].as_py(), "u1", "u1", "u1"))
+            counts[where] = got
+            chunks.append((where, got.astype(np.int64), ids))
+        first = np.cumsum(counts) - counts
+        flat = np.zeros(int(counts.sum()), np.int64)
+        for where, got, ids in chunks:
+            flat[gather(first[where], got)] = ids
+        names, lens, letters = table.value
+        starts = np.cumsum(lens) - lens
+        spot = np.searchsorted(names, flat)
+        # each distinct word is spelled once, then the words of a text are put in a row
+        word_lens = np.add.reduceat(np.append(lens[spot], 0), np.append(first, len(flat)))[:n] if n else np.zeros(0, np.int64)
+        spelt = letters[gather(starts[spot], lens[spot])]
+        word_first = np.cumsum(word_lens) - word_lens
+        edge = np.zeros(len(per) + 1, np.int64)
+        np.cumsum(per, out=edge[1:])
+        ids, decoded = [], []
+        for d in range(len(per)):
+            w = at[edge[d] : edge[d + 1]]
+            ids.append(pa.array(flat[gather(first[w], counts[w])].astype(np.int32)))
+            decoded.append(spelt[gather(word_first[w], word_lens[w])].tobytes().decode("utf-8", "replace"))
+        off = np.zeros(len(per) + 1, np.int32)
+        np.cumsum([len(x) for x in ids], out=off[1:])
+        all_ids = pa.concat_arrays(ids) if ids else pa.array([], pa.int32())
+        return pa.table({"key": pa.array(keys, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(off), all_ids), "decoded": pa.array(decoded, pa.string())})
+
+    return run
 
 
 def encode_decode(keyed: DataFrame, model: str, block: int = BLOCK, buckets: int | None = None) -> DataFrame:
@@ -265,15 +286,13 @@ def encode_decode(keyed: DataFrame, model: str, block: int = BLOCK, buckets: int
     buckets = buckets or 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     held = spark.sparkContext.broadcast(model)
     bundles = keyed.mapInArrow(_bundles(block, buckets), "bucket int, block long, data binary")
-    words = materialize(bundles.groupBy("bucket").applyInArrow(_encoder(held), "block long, data binary, used array<int>"), "words")
-    free_shuffles(spark)
-    used = words.select("block", F.explode("used").alias("id")).distinct().join(F.broadcast(pieces(spark, model)), "id")
-    spelled = used.groupBy("block", F.pmod("id", F.lit(8)).alias("part")).agg(F.collect_list(F.struct("id", "piece")).alias("s"))
-    nothing = F.lit(None)
-    rows = keyed.mapInArrow(_positions(block), "block long, kind int, keys array<long>, data binary").select("block", "kind", "keys", "data", nothing.cast("array<int>").alias("ids"), nothing.cast("array<binary>").alias("pieces"))
-    rows = rows.union(words.select("block", F.lit(1), nothing.cast("array<long>"), "data", nothing.cast("array<int>"), nothing.cast("array<binary>")))
-    rows = rows.union(spelled.select("block", F.lit(2), nothing.cast("array<long>"), nothing.cast("binary"), F.col("s.id"), F.col("s.piece")))
-    return rows.groupBy("block").applyInArrow(_assemble, "key long, ids array<int>, decoded string")
+    words = bundles.groupBy("bucket").applyInArrow(_encoder(held), "block long, data binary")
+    rows = keyed.mapInArrow(_positions(block), "block long, kind int, keys array<long>, data binary")
+    rows = rows.union(words.select("block", F.lit(1), F.lit(None).cast("array<long>"), "data"))
+    table = piece_table(model)
+    names, spelled = np.array([i for i, _ in table], np.int64), [p for _, p in table]
+    joined = spark.sparkContext.broadcast((names, np.array([len(p) for p in spelled], np.int64), np.frombuffer(b"".join(spelled), np.uint8)))
+    return rows.groupBy("block").applyInArrow(_assemble(joined), "key long, ids array<int>, decoded string")
 
 
 def vocabulary(path: str | None = None) -> str:
