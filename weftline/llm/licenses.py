@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts
-from .secrets import places
+from .secrets import folded, places
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -157,9 +157,9 @@ def _spaces(value: Column) -> Column:
     return F.length(value) - F.length(F.replace(value, F.lit(" "), F.lit("")))
 
 
-def _words_at(padded: Column, found: Column) -> Column:
-    """Character spans as word spans: (start, end) in words."""
-    return F.transform(found, lambda p: F.struct((_spaces(F.substring(padded, F.lit(1), p["start"])) / 2).cast("int").alias("start"), (_spaces(F.substring(padded, F.lit(1), p["end"])) / 2).cast("int").alias("end")))
+def _words(value: Column) -> Column:
+    """Words in a run of whole words; the one space more at the text's head doesn't count."""
+    return F.floor(_spaces(value) / 2).cast("int")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -168,39 +168,28 @@ def scan(docs: DataFrame) -> DataFrame:
 
     A null text is the empty one and has no words; repeated rows are each scanned; an empty table gives no rows."""
     p = F.col("padded")
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    base_of = lambda phrase, label: F.transform(F.when(p.contains(spaced(phrase)), _words_at(p, places(p, spaced(phrase)))).otherwise(none), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(label).alias("label")))
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    base_of = lambda phrase, label: F.transform(F.when(p.contains(spaced(phrase)), places(p, spaced(phrase), measure=_words)).otherwise(none), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(label).alias("label")))
     base = F.concat(*(base_of(k, v) for k, v in PHRASES.items()))
     table = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(c).alias("confidence"), F.lit(k).alias("keyword"), F.lit(e).alias("expression")) for i, (label, c, k, e) in enumerate(RULES)))
 
     def tried(r: Column) -> Column:
-        hits = F.regexp_extract_all(p, r["expression"], F.lit(0))
-        pieces = F.split(p, r["expression"], -1)
-        rows = F.arrays_zip(hits.alias("hit"), F.slice(pieces, F.lit(1), F.size(hits)).alias("before"))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,rule:int,label:string,confidence:double>>").alias("found"))
-
-        def step(acc: Column, x: Column) -> Column:
-            at = acc["at"] + (_spaces(x["before"]) / 2).cast("int")
-            end = at + (_spaces(x["hit"]) / 2).cast("int")
-            one = F.struct(at.alias("start"), end.alias("end"), r["rule"].alias("rule"), r["label"].alias("label"), r["confidence"].alias("confidence"))
-            return F.struct(end.alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
-
-        return F.aggregate(rows, start, step, lambda acc: acc["found"])
+        named = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), r["rule"].alias("rule"), r["label"].alias("label"), r["confidence"].alias("confidence"))
+        return F.transform(places(p, r["expression"], measure=_words), named)
 
     able = F.filter(table, lambda r: F.contains(p, r["keyword"]) & F.rlike(p, r["expression"]))
     nothing = F.array().cast("array<struct<start:int,end:int,rule:int,label:string,confidence:double>>")
     raw = F.when(F.rlike(p, F.lit(GATE)), F.flatten(F.transform(able, tried))).otherwise(nothing)
     ranked = F.array_sort(F.transform(raw, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), d["rule"].alias("rule"), d["label"].alias("label"), d["confidence"].alias("confidence"))))
-    start = F.struct(F.lit(0).alias("reach"), nothing.alias("kept"))
 
-    def sweep(acc: Column, d: Column) -> Column:
+    def sweep(reach: Column, d: Column) -> tuple[Column, Column]:
         one = F.struct(d["start"].alias("start"), (-d["back"]).alias("end"), d["rule"].alias("rule"), d["label"].alias("label"), d["confidence"].alias("confidence"))
-        stays = -d["back"] > acc["reach"]  # those before start no later, so one that reaches as far contains it
-        return F.struct(F.greatest(acc["reach"], -d["back"]).alias("reach"), F.when(stays, F.concat(acc["kept"], F.array(one))).otherwise(acc["kept"]).alias("kept"))
+        stays = -d["back"] > reach  # those before start no later, so one that reaches as far contains it
+        return F.greatest(reach, -d["back"]), F.when(stays, F.array(one)).otherwise(nothing)
 
     out = texts(docs).select("doc_id", normalised(F.col("text")).alias("padded"))
     out = out.select("doc_id", (_spaces(p) / 2 - 1).cast("long").alias("n_words"), base.alias("base"), ranked.alias("ranked"))
-    return out.select("doc_id", "n_words", "base", F.aggregate("ranked", start, sweep, lambda acc: acc["kept"]).alias("detections"))
+    return out.select("doc_id", "n_words", "base", folded(F.col("ranked"), F.lit(0), sweep, "struct<start:int,end:int,rule:int,label:string,confidence:double>").alias("detections"))
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ allow-list drops candidates that look like words, numbers, placeholders, sequenc
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,20 +47,45 @@ LIMIT = {k: math.floor((math.log2(WINDOW) - b) * WINDOW * SCALE) for k, b in BIT
 KINDS = ["assign", "access", "hex", *BITS]
 
 
-def places(text: Column, pattern: str, group: int = 0) -> Column:
-    """The leftmost non-overlapping matches: array of (start, end, value), in code points, value being the group."""
-    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
+#: Elements of an array that one fold appends to; see :func:`folded`.
+LOT = 256
+
+
+def folded(rows: Column, carry: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """Folds an array from the left: step(carry, x) gives the next carry and an array of what x adds; all added is returned.
+
+    Appending copies what is there, so lots of LOT elements are folded apart and flattened at the end: a text with very many
+    matches then costs little more than its length."""
+    n = F.size(rows)
+    lots = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / LOT).cast("int")), lambda i: F.slice(rows, i * LOT + 1, F.lit(LOT)))
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        now, added = step(acc["carry"], x)
+        return F.struct(now.alias("carry"), F.concat(acc["out"], added).alias("out"))
+
+    def lot(done: Column, part: Column) -> Column:
+        first = F.coalesce(F.get(done, F.size(done) - 1)["carry"], carry)
+        return F.concat(done, F.array(F.aggregate(part, F.struct(first.alias("carry"), none.alias("out")), one)))
+
+    return F.when(n > 0, F.flatten(F.transform(F.aggregate(lots, F.array().cast(f"array<struct<carry:int,out:array<{kind}>>>"), lot), lambda d: d["out"]))).otherwise(none)
+
+
+def places(text: Column, pattern: Column | str, group: int = 0, measure: Callable[[Column], Column] = F.length) -> Column:
+    """The leftmost non-overlapping matches: array of (start, end, value), value being the group's text.
+
+    Places count code points, or what ``measure`` counts in the text before."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    values = F.regexp_extract_all(text, pattern, F.lit(group)) if group else hits
     rows = F.arrays_zip(hits.alias("hit"), F.slice(pieces, F.lit(1), F.size(hits)).alias("before"), values.alias("value"))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("found"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + F.length(x["before"])
-        end = at + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(at.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("found"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + measure(x["before"])
+        end = start + measure(x["hit"])
+        return end, F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["found"])
+    return folded(rows, F.lit(0), step, "struct<start:int,end:int,value:string>")
 
 
 def _least_units(value: Column) -> Column:
@@ -134,16 +160,17 @@ def _joined(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """``text`` with every maximal run of overlapping spans replaced by the mask; spans are sorted by their start."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    """``text`` with every maximal run of touching spans replaced by the mask; spans are sorted by their start."""
+    far = F.lit(2**31 - 1)
 
-    def step(a: Column, s: Column) -> Column:
-        ahead = s["start"] >= a["at"]
-        gap = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        first = ahead & ((s["start"] > a["at"]) | (a["out"] == ""))
-        return F.struct(F.when(first, F.concat(a["out"], gap, F.lit(mask))).otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        """at: the end of the spans so far, -1 before the first."""
+        gap = F.substring(text, F.greatest(at, F.lit(0)) + 1, s["start"] - F.greatest(at, F.lit(0)))
+        return F.greatest(at, s["end"]), F.when((s["start"] > at) & (s["end"] > s["start"]), F.array(gap, F.lit(mask))).otherwise(F.array().cast("array<string>"))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))))
+    parts = folded(spans, F.lit(-1), step, "string")
+    end = F.aggregate(spans, F.lit(0), lambda a, s: F.greatest(a, s["end"]))
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(parts, ""), F.substring(text, end + 1, far)))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
