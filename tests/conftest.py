@@ -34,9 +34,10 @@ def data():
 
 def _rows(frame):
     """Rows of a pandas frame as comparable text, columns by name, floats to 6 digits."""
+    import pandas
 
     def text(x):
-        if x is None or x != x:
+        if x is None or x is pandas.NA or x != x:
             return "null"
         if hasattr(x, "item"):
             x = x.item()
