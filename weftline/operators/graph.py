@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import write_table
+from . import stars
 
 
 def undirected(knn: DataFrame) -> DataFrame:
@@ -70,28 +70,10 @@ def connected(sets: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("set_id", "frame_id", (F.size(reach) == F.size("nodes")).alias("is_connected"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(frame_id, item_id, component): the smallest item that edges reach, by alternating large-star and small-star steps.
-
-    The number of edges never grows beyond that of the input, and each step is a written table."""
-    now = write_table(edges.select("frame_id", F.col("v").alias("a"), F.col("u").alias("b")).where("a > b").distinct(), "edges")
-    before = None
-    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("frame_id", "a", "b").cast("decimal(38,0)"))).first())
-    for _ in range(rounds):
-        both = now.union(now.select("frame_id", F.col("b").alias("a"), F.col("a").alias("b")))
-        least = write_table(both.groupBy("frame_id", "a").agg(F.least("a", F.min("b")).alias("m")), "least")
-        large = both.where("b > a").join(least, ["frame_id", "a"]).select("frame_id", F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        large = write_table(large, "large")
-        low = write_table(large.groupBy("frame_id", "a").agg(F.min("b").alias("m")), "low")
-        pair = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
-        now = write_table(large.join(low, ["frame_id", "a"]).select("frame_id", pair).select("frame_id", "e.*").where("a > b").distinct(), "edges")
-        if (after := state(now)) == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = now.select("frame_id", F.col("b").alias("item_id"), F.col("b").alias("component")).distinct()
-    return now.select("frame_id", F.col("a").alias("item_id"), F.col("b").alias("component")).union(roots)
+def components(edges: DataFrame) -> DataFrame:
+    """(frame_id, item_id, component): the smallest item that edges reach."""
+    found = stars.components(edges.select("frame_id", F.col("u").alias("a"), F.col("v").alias("b")), ["frame_id"])
+    return found.withColumnRenamed("id", "item_id")
 
 
 def component_sizes(found: DataFrame) -> DataFrame:
