@@ -1,20 +1,16 @@
-"""Shared plumbing of the corpus operators: shared-folder tables, Arrow limits, input selection."""
+"""Shared plumbing of the corpus operators: Arrow limits and the columns that they read."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import free_shuffles, release  # noqa: F401
+from ..plans.storage import write_table as materialize
+
 #: Rows in one Arrow batch; a batch of long texts then stays far below a worker's memory.
 ARROW_ROWS = 2000
 
-_written: list[tuple[object, object]] = []
-
 
 def tune(spark: SparkSession) -> None:
     """Bounds the Arrow batches that kernels receive, by rows and by bytes."""
@@ -22,61 +18,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not where:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = got.get() if got.isDefined() else None
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back.
-
-    This cuts the lineage and survives the loss of an executor. The folder goes when the driver's process ends, or
-    earlier by :func:`release`."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._weftline_path = path
-    return out
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished plans now, not when the driver next happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def release(*frames: DataFrame) -> None:
-    """Deletes tables that :func:`materialize` wrote and that nothing will read again."""
-    for df in frames:
-        if path := getattr(df, "_weftline_path", None):
-            _delete(df.sparkSession, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in _written:
-        try:
-            if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended already
-            return
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

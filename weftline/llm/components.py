@@ -1,49 +1,13 @@
-"""Connected components by alternating star operations, for links of any number and of any skew."""
+"""Components of links between document or vector ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from ..operators import stars
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over edges (a, b) with a > b."""
-    both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "stars")
-    large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-    large = materialize(large, "large")
-    low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
-    small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-    out = materialize(small.where("a > b").distinct(), "links")
-    release(least, large, low)
-    return out
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.max("b")).first())
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """Rows (id, component) for every id in a link other than to itself; component is the smallest id that links reach.
-
-    Large-star and small-star steps alternate until nothing changes; each keeps the number of edges within that of the
-    links. Minima are partial aggregates and the joins are plain ones of written tables, which adaptive execution
-    splits where one id has very many links. Null ids and self links are left out; repeated links don't matter."""
-    x, y = F.col(a).cast("long"), F.col(b).cast("long")
-    edges = links.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
-    edges = materialize(edges, "links")
-    before = _state(edges)
-    for _ in range(rounds):
-        if not before[0]:
-            break
-        after = _stars(edges)
-        release(edges)
-        edges, now = after, _state(after)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+def components(links: DataFrame) -> DataFrame:
+    """Rows (id, component) of links (a, b); see :func:`weftline.operators.stars.components`."""
+    return stars.components(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
