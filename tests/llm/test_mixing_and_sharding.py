@@ -43,30 +43,30 @@ def test_large_budgets_are_met_exactly():
 
 
 def test_mix_of_nasty_documents(nasty, no_docs, spark):
-    got = mixing.mix(nasty.drop("size", "target", "times"), mixing.n_words(F.col("text"))).collect()
+    got = mixing.mixed(nasty, mixing.n_words(F.col("text"))).collect()
     rows = nasty.collect()
     assert len(got) == len(rows)
-    assert sorted((str(r["doc_id"]), r["size"]) for r in got) == sorted((str(r["doc_id"]), size_of(r["text"])) for r in rows)
+    assert sorted((str(r["row"]["doc_id"]), r["size"]) for r in got) == sorted((str(r["doc_id"]), size_of(r["text"])) for r in rows)
     sources = sorted({r["source"] for r in rows if r["source"] is not None}) + [None]
     sums = {s: sum(size_of(r["text"]) for r in rows if r["source"] == s) for s in sources}
     goal = dict(zip(sources, mixing.targets(list(sums.values()), [float(mixing.WEIGHTS[i % 3]) for i in range(len(sources))]), strict=True))
     for s in sources:
-        mine = [r for r in got if r["source"] == s]
+        mine = [r for r in got if r["row"]["source"] == s]
         assert {(r["source_size"], r["target"]) for r in mine} == {(sums[s], goal[s])}
         taken = sum(r["size"] * r["times"] for r in mine)
         assert goal[s] - max([r["size"] for r in mine]) - 1 <= taken <= goal[s] + 1
     assert all(0 <= r["times"] <= 3 and (r["size"] or not r["times"]) for r in got)
-    again = mixing.mix(nasty.drop("size", "target", "times").repartition(5), mixing.n_words(F.col("text"))).collect()
-    key = lambda r: (str(r["doc_id"]), str(r["source"]), r["size"], r["times"])
+    again = mixing.mixed(nasty.repartition(5), mixing.n_words(F.col("text"))).collect()
+    key = lambda r: (str(r["row"]["doc_id"]), str(r["row"]["source"]), r["size"], r["times"])
     assert sorted(map(key, got)) == sorted(map(key, again))
-    assert mixing.mix(no_docs, mixing.n_words(F.col("text"))).count() == 0
-    whole = mixing.repeat_rows(nasty.drop("size", "target", "times", "copy"))
+    assert mixing.mixed(no_docs, mixing.n_words(F.col("text"))).count() == 0
+    whole = mixing.repeat_rows(nasty)
     assert whole.count() == sum(r["times"] for r in got)
 
 
 def test_hot_length_is_split(spark, monkeypatch):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2900, "a").otherwise("b").alias("source"), F.lit(7).cast("long").alias("words"))
-    got = mixing.mix(rows, F.col("words")).groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("k"), F.first("target").alias("t"), F.max("times").alias("m")).collect()
+    got = mixing.mixed(rows, F.col("words")).groupBy("row.source").agg(F.sum(F.col("size") * F.col("times")).alias("k"), F.first("target").alias("t"), F.max("times").alias("m")).collect()
     for r in got:
         assert abs(r["k"] - r["t"]) <= 7
         assert r["m"] <= 3

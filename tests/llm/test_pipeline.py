@@ -29,7 +29,7 @@ def test_stages_take_effect(spark, data):
     assert steps[2][1].count() == steps[2][0].count()
     assert secrets.scan(steps[2][1]).where(F.exists("spans", lambda s: s["kind"].isin("hex", "access"))).count() == 0
     times = {r["doc_id"]: r["count"] for r in steps[3][1].groupBy("doc_id").count().collect()}
-    want = {r["doc_id"]: r["times"] for r in mixing.mix(steps[3][0], mixing.n_words(F.col("text"))).collect()}
+    want = {r["row"]["doc_id"]: r["times"] for r in mixing.mixed(steps[3][0], mixing.n_words(F.col("text"))).collect()}
     assert times == {k: v for k, v in want.items() if v}
     tok = bpe.load(bpe.vocabulary())
     texts = {r["doc_id"]: r["text"] for r in steps[4][0].collect()}

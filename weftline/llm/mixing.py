@@ -19,13 +19,18 @@ WEIGHTS, MOST, SEED = (5, 2, 1), 3, "mix"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words of budget that the knapsack closes; what lies above is taken by shares of the counts.
 KNAPSACK = 1 << 16
-#: Ranges of the seeded hash, so that no length is ranked in one task.
-SPREAD = 1024
+#: Bits of the seeded hash that name its range, so that no length is ranked in one task; the hash has 63 in all.
+SPREAD = 10
+LOW = 63 - SPREAD
+LAST = 2**63 - 1
+#: Rows of the plan, one for each length of each source, up to which it is broadcast.
+BROADCAST = 500_000
 
 
 def n_words(text: Column) -> Column:
     """Words are runs of anything but ASCII white space."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    marks = F.translate(F.regexp_replace(text, WORD, "x"), "\t\n\x0b\x0c\r ", "")
+    return F.coalesce(F.length(marks), F.lit(0)).cast("long")
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -94,43 +99,59 @@ def _fitter(name: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def mix(docs: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
-    """The rows of ``docs``, all their columns, with size, source_size, target and times: how often the mix takes the row.
+def mixed(docs: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
+    """The rows of ``docs`` as the struct ``row``, with size, source_size, target and times: how often the mix takes the row.
 
     Sources stand in code point order, null last; ``weights`` repeat over them. A document is taken at most three times;
-    one of size 0 is never taken. Rows that share source, size and doc_id are ranked by all their columns. Reruns and
-    other partitions give the same rows; an empty table gives none. The sources' sums go to the driver, a row each."""
+    one of size 0 is never taken. Of a length that is taken in part go the rows up to a cut in the order of a seeded hash of
+    doc_id, so no text moves; rows that share source, size and doc_id fare alike. Reruns and other partitions give the same
+    rows; an empty table gives none. The sources' sums go to the driver, a row each."""
     spark = docs.sparkSession
-    key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    rank = F.xxhash64(F.lit(seed), "doc_id")
     names = docs.columns
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), key.alias("k"), size.alias("size"), rank.alias("h"), F.shiftrightunsigned(rank, 64 - (SPREAD - 1).bit_length()).cast("int").alias("part"))
-    counts = materialize(keyed.groupBy("k", "size", "part").agg(F.count("*").alias("n")), "counts")
+    key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
+    h, ident = F.xxhash64(F.lit(seed), "doc_id").bitwiseAND(F.lit(LAST)), F.coalesce(F.col("doc_id").cast("long"), F.lit(-LAST))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), key.alias("k"), size.cast("long").alias("size"), h.alias("h"), ident.alias("ident"))
+    slim = materialize(keyed.select("k", "size", "h", "ident", F.shiftright("h", LOW).cast("int").alias("part")), "slim")
+    counts = materialize(slim.groupBy("k", "size", "part").agg(F.count("*").alias("n")), "counts")
     sums = [(r["k"], int(r["s"])) for r in counts.groupBy("k").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect()]
     sums.sort(key=lambda r: (r[0] == "n", r[0]))
     goal = targets([s for _, s in sums], [float(weights[i % len(weights)]) for i in range(len(sums))])
     goals = spark.createDataFrame([(k, s, t) for (k, s), t in zip(sums, goal, strict=True)], "k string, source_size long, target double")
     lengths = counts.groupBy("k", "size").agg(F.sum("n").alias("n")).join(F.broadcast(goals), "k")
-    plan = materialize(lengths.select("k", "size", "n", "target").groupBy("k").applyInPandas(_fitter("k"), "k string, size long, n long, times int, extra long"), "plan")
-    before = F.sum("n").over(Window.partitionBy("k", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = counts.select("k", "size", "part", F.col("n").alias("here"), F.coalesce(before, F.lit(0)).alias("before")).join(plan.select("k", "size", "times", "extra"), ["k", "size"])
-    take = F.least(F.greatest(F.col("extra") - F.col("before"), F.lit(0)), F.col("here"))
-    parts = materialize(parts.select("k", "size", "part", "times", take.alias("take"), "here"), "parts")
-    dealt = keyed.join(parts, ["k", "size", "part"])
-    sure = dealt.where("take = 0 or take = here").select("row", "k", "size", (F.col("times") + (F.col("take") > 0).cast("int")).alias("times"))
-    split = dealt.where("take > 0 and take < here")
-    order = Window.partitionBy("k", "size", "part").orderBy("h", F.col("row.doc_id"), F.xxhash64("row"))
-    split = split.withColumn("at", F.row_number().over(order)).select("row", "k", "size", (F.col("times") + (F.col("at") <= F.col("take")).cast("int")).alias("times"))
-    times = F.when(F.col("size") > 0, F.col("times")).otherwise(0).alias("times")
-    return sure.union(split).join(F.broadcast(goals), "k").select("row.*", "size", "source_size", "target", times)
+    fitted = materialize(lengths.select("k", "size", "n", "target").groupBy("k").applyInPandas(_fitter("k"), "k string, size long, n long, times int, extra long"), "fitted")
+    cuts = _cuts(slim, counts, fitted)
+    plan = lengths.select("k", "size", "source_size", "target").join(fitted.select("k", "size", "times", "extra"), ["k", "size"]).join(cuts, ["k", "size"], "left")
+    plan = materialize(plan.withColumnRenamed("size", "length"), "plan")
+    dealt = keyed.join(F.broadcast(plan) if plan.count() <= BROADCAST else plan, (keyed["k"] == plan["k"]) & (keyed["size"] == plan["length"]))
+    below = (F.col("h") < F.col("cut_h")) | ((F.col("h") == F.col("cut_h")) & (F.col("ident") <= F.col("cut_id")))
+    times = F.when(F.col("size") > 0, F.col("times") + F.coalesce(below, F.lit(False)).cast("int")).otherwise(0)
+    return dealt.select("row", "size", "source_size", "target", times.alias("times"))
+
+
+def _cuts(slim: DataFrame, counts: DataFrame, fitted: DataFrame) -> DataFrame:
+    """(k, size, cut_h, cut_id): up to where a length's rows are taken once more, by (h, ident); lengths without such are absent.
+
+    Counts of hash ranges tell the range in which the cut lies; only that range's rows are ranked."""
+    upto = F.sum("n").over(Window.partitionBy("k", "size").orderBy("part"))
+    parts = counts.select("k", "size", "part", "n", (upto - F.col("n")).alias("before")).join(fitted.where("extra > 0").select("k", "size", "extra"), ["k", "size"])
+    last = parts.where("before < extra").groupBy("k", "size").agg(F.max_by(F.struct("part", "n", (F.col("extra") - F.col("before")).alias("take")), "part").alias("p")).select("k", "size", "p.*")
+    last = materialize(last, "last")
+    low = F.shiftleft(F.col("part").cast("long"), LOW)
+    whole = last.where("take >= n").select("k", "size", (low + F.lit(2**LOW - 1)).alias("cut_h"), F.lit(LAST).alias("cut_id"))
+    rows = slim.join(last.where("take < n").select("k", "size", "part", "take"), ["k", "size", "part"])
+    # of equal rows that would straddle the cut none is taken
+    so_far = F.count("*").over(Window.partitionBy("k", "size", "part").orderBy("h", "ident"))
+    inside = rows.withColumn("so_far", so_far).groupBy("k", "size", "part").agg(F.max(F.when(F.col("so_far") <= F.col("take"), F.struct("h", "ident"))).alias("c"))
+    inside = inside.select("k", "size", F.coalesce(F.col("c.h"), low - 1).alias("cut_h"), F.coalesce(F.col("c.ident"), F.lit(LAST)).alias("cut_id"))
+    return whole.union(inside)
 
 
 def repeat_rows(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus itself: the columns of ``docs``, every row as often as the mix takes it."""
-    mixed = mix(docs, n_words(F.col("text")), **options).where("times > 0")
-    return mixed.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select(*docs.columns)
+    taken = mixed(docs, n_words(F.col("text")), **options).where("times > 0")
+    return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("words"))
-    return mix(docs, F.col("words")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    return mixed(docs, F.col("words")).select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
