@@ -26,8 +26,8 @@ from .textkernel import ALNUM, U, Hasher, buffers, lists, mix, ranges, words
 SHINGLE, THRESHOLD, ROWS, BANDS = 5, 0.8, 5, 25
 #: Bits of a set's parity map; see :func:`_near`.
 BITS = 512
-#: A bucket of more members than this is cut by a second band before pairs across components are formed.
-WIDE = 64
+#: A bucket of more members than this, eight million pairs of parity maps, is cut by a second band before pairs are formed.
+WIDE = 4096
 
 
 def normalised(text: Column) -> Column:
