@@ -148,3 +148,8 @@ def test_equal_weights_stay_and_no_match_gives_no_edges(spark):
     assert matching.normalised_weights(rows.where("false")).count() == 0
     spread = rows.withColumn("weight", F.col("src") * 1.0)
     assert sorted(r["weight"] for r in matching.normalised_weights(spread).collect()) == [0.0, 1.0]
+
+
+def test_types_within_a_size(spark):
+    got = [r[0] for r in spark.range(29).orderBy("id").select(graphlets.type_within_size(F.col("id"))).collect()]
+    assert got == [0, 1, *range(6), *range(21)]

@@ -182,3 +182,22 @@ def test_frames_that_arrive(spark, tmp_path):
         graphs_as_frames_arrive(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), 2).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert {(r["frame_id"], r["count"]) for r in got.groupBy("frame_id").count().collect()} == {(0, 32), (1, 32)}
+
+
+def test_command(spark, tmp_path):
+    from weftline.__main__ import main
+
+    rng = np.random.default_rng(6)
+    (tmp_path / "in").mkdir()
+    x = rng.normal(size=(40, 3))
+    for i in (1, 4):
+        (tmp_path / "in" / f"f_{i}.txt").write_text("".join(f"{a!r} {b!r} {c!r} {j % 2}\n" for j, (a, b, c) in enumerate((x + 0.1 * i * rng.normal(size=x.shape)).tolist())))
+    settings = '{"algo": {"perplexity": 8, "k_closest_count": 3, "bfs_level": 1, "gamma": 0.01}, "thesne": {"data_name": "d", "pts_size": 40, "norm": true, "data_ids": [4, 1], "data_dims": [3, 3]}}'
+    (tmp_path / "c.json").write_text(settings)
+    main([str(tmp_path / "c.json"), str(tmp_path / "in"), str(tmp_path / "out"), "--plain-steps", "30", "--joint-steps", "30"])
+    assert files.read_graph(spark, str(tmp_path / "out" / "graphs"), 3).count() == 240
+    assert files.read_similarities(spark, str(tmp_path / "out" / "similarities")).count() == 40
+    assert {(r["frame_id"], r["count"]) for r in files.read_layouts(spark, str(tmp_path / "out" / "layouts")).groupBy("frame_id").count().collect()} == {(4, 40), (1, 40)}
+    (tmp_path / "c.json").write_text(settings.replace("[3, 3]", "[3, 2]"))
+    with pytest.raises(ValueError, match="numbers"):
+        main([str(tmp_path / "c.json"), str(tmp_path / "in"), str(tmp_path / "out")])

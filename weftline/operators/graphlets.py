@@ -53,6 +53,11 @@ def graphlet_type(signature: Column, products: Column) -> Column:
     return out
 
 
+def type_within_size(gtype: Column) -> Column:
+    """Types numbered from 0 within graphlets of 3, of 4 and of 5 nodes."""
+    return F.when(gtype < 2, gtype).when(gtype < 8, gtype - 2).otherwise(gtype - 8)
+
+
 def typed_sets(sets: DataFrame, edges: DataFrame) -> DataFrame:
     """(frame_id, nodes, gtype) of connected sets."""
     near = adjacency(edges)
