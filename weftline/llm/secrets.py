@@ -29,7 +29,7 @@ HEX = "[0-9a-f]+"
 CANDIDATE, WINDOW = "[A-Za-z0-9+/_=-]{20,}", 20
 BITS = {"entropy_hex": 3.0, "entropy_alnum": 3.7, "entropy_base64": 3.85}
 SHAPES = {"entropy_hex": "^[0-9a-fA-F]+$", "entropy_alnum": "^[0-9A-Za-z]+$", "entropy_base64": "^.*$"}
-#: What is no secret: no digit or no letter at all, one repeated character, placeholders, sequences, UUIDs, dates, plain words joined by dashes.
+#: What is no secret: no digit or no letter at all, one repeated character, placeholders, sequences, UUIDs, dates, words and paths with a short number at their end.
 ALLOWED = [
     "^[^0-9]*$",
     "^[^A-Za-z]*$",
@@ -37,7 +37,7 @@ ALLOWED = [
     "(?i)0123456789|12345678|abcdefgh|qwertyui",
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "^[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    "^[A-Za-z]{2,}([-_/][A-Za-z]{2,})+[-_/]?[0-9]{0,4}$",
+    "^[A-Za-z/_+=-]*[0-9]{0,4}$",
 ]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SCALE = 1 << 20
