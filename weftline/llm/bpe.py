@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import replayable, texts, tune
-from .textkernel import Hasher, U, buffers
+from .textkernel import SLICE, Hasher, U, buffers
 
 #: Bytes of text in a block, but for a block of one longer text.
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 
 
 def _safe() -> np.ndarray:
@@ -37,15 +37,18 @@ def units(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Where words begin: at each text's begin, and before a space, tab or line end that follows a character which is
     surely not white space (printable ASCII, or U+00C0 to U+07FF). Elsewhere words stay longer, which is as right."""
     cut = np.zeros(len(data), bool)
-    if len(data) > 1:
-        blank = (data[1:] == 32) | (data[1:] == 10) | (data[1:] == 9) | (data[1:] == 13)
-        sure = _safe()[data[:-1]]
-        lead = np.zeros(len(data) - 1, bool)
-        lead[1:] = (data[:-2] >= 0xC3) & (data[:-2] <= 0xDF)
-        sure |= lead & (data[:-1] >= 0x80) & (data[:-1] < 0xC0)
-        cut[1:] = blank & sure
     cut[offs[:-1][offs[:-1] < len(data)]] = True
-    return np.flatnonzero(cut)
+    safe, out = _safe(), []
+    for lo in range(0, len(data), SLICE):
+        part = data[max(lo - 2, 0) : lo + SLICE]  # with the two bytes before
+        blank = (part == 32) | (part == 10) | (part == 9) | (part == 13)
+        sure = safe[part]
+        sure[1:] |= (part[1:] >= 0x80) & (part[1:] < 0xC0) & (part[:-1] >= 0xC3) & (part[:-1] <= 0xDF)
+        here = cut[max(lo - 2, 0) : lo + SLICE].copy()
+        here[1:] |= blank[1:] & sure[:-1]
+        head = lo - max(lo - 2, 0)
+        out.append(np.flatnonzero(here[head:]).astype(np.int32) + lo)
+    return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -89,6 +92,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int,
                 size += int(offs[hi] - offs[lo])
             if hi < batch.num_rows:
                 yield part << 24 | seq, _columns(held)
+                pa.default_memory_pool().release_unused()
                 seq, held, size = seq + 1, [], 0
             lo = max(hi, lo)
     if held:
@@ -109,8 +113,8 @@ def _split(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     coded = words.dictionary_encode()
     at = coded.indices.to_numpy(zero_copy_only=False)
     order = np.argsort(-np.bincount(at, minlength=len(coded.dictionary)), kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
     return per, place[at], coded.dictionary.take(pa.array(order))
 
 
@@ -241,7 +245,7 @@ def _assemble(table):
         (main,) = row(0)
         keys = group.column("keys")[main].as_py()
         per, at, n = _unpack(group.column("data")[main].as_py(), "<i8", "u1", "<i8")
-        at, n = _unplanes(at).astype(np.int64), int(n[0])
+        at, n = _unplanes(at), int(n[0])
         counts, chunks = np.zeros(n, np.int64), []
         for i in row(1):
             where, got, ids = map(_unplanes, _unpack(group.column("data")[i].as_py(), "u1", "u1", "u1"))
@@ -268,6 +272,7 @@ def _assemble(table):
         off = np.zeros(len(per) + 1, np.int32)
         np.cumsum([len(x) for x in ids], out=off[1:])
         all_ids = pa.concat_arrays(ids) if ids else pa.array([], pa.int32())
+        pa.default_memory_pool().release_unused()
         return pa.table({"key": pa.array(keys, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(off), all_ids), "decoded": pa.array(decoded, pa.string())})
 
     return run
