@@ -51,13 +51,16 @@ KINDS = ["assign", "access", "hex", *BITS]
 LOT = 256
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value being computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def folded(rows: Column, carry: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
     """Folds an array from the left: step(carry, x) gives the next carry and an array of what x adds; all added is returned.
 
     Appending copies what is there, so lots of LOT elements are folded apart and flattened at the end: a text with very many
     matches then costs little more than its length."""
-    n = F.size(rows)
-    lots = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / LOT).cast("int")), lambda i: F.slice(rows, i * LOT + 1, F.lit(LOT)))
     none = F.array().cast(f"array<{kind}>")
 
     def one(acc: Column, x: Column) -> Column:
@@ -68,7 +71,13 @@ def folded(rows: Column, carry: Column, step: Callable[[Column, Column], tuple[C
         first = F.coalesce(F.get(done, F.size(done) - 1)["carry"], carry)
         return F.concat(done, F.array(F.aggregate(part, F.struct(first.alias("carry"), none.alias("out")), one)))
 
-    return F.when(n > 0, F.flatten(F.transform(F.aggregate(lots, F.array().cast(f"array<struct<carry:int,out:array<{kind}>>>"), lot), lambda d: d["out"]))).otherwise(none)
+    def whole(rows: Column) -> Column:
+        n = F.size(rows)
+        lots = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / LOT).cast("int")), lambda i: F.slice(rows, i * LOT + 1, F.lit(LOT)))
+        done = F.aggregate(lots, F.array().cast(f"array<struct<carry:int,out:array<{kind}>>>"), lot)
+        return F.when(n > 0, F.flatten(F.transform(done, lambda d: d["out"]))).otherwise(none)
+
+    return once(rows, whole)
 
 
 def places(text: Column, pattern: Column | str, group: int = 0, measure: Callable[[Column], Column] = F.length) -> Column:
@@ -77,8 +86,8 @@ def places(text: Column, pattern: Column | str, group: int = 0, measure: Callabl
     Places count code points, or what ``measure`` counts in the text before."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    values = F.regexp_extract_all(text, pattern, F.lit(group)) if group else hits
-    rows = F.arrays_zip(hits.alias("hit"), F.slice(pieces, F.lit(1), F.size(hits)).alias("before"), values.alias("value"))
+    values = F.regexp_extract_all(text, pattern, F.lit(group))
+    rows = once(hits, lambda h: F.arrays_zip(h.alias("hit"), F.slice(pieces, F.lit(1), F.size(h)).alias("before"), (values if group else h).alias("value")))
 
     def step(at: Column, x: Column) -> tuple[Column, Column]:
         start = at + measure(x["before"])
@@ -92,17 +101,19 @@ def _least_units(value: Column) -> Column:
     """Over the windows of a candidate, the least sum of c*log2(c) units; counts change by two characters a step."""
     x = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
     units = F.array(*map(F.lit, UNITS))
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("n"), F.lit(0).alias("sum"), F.lit(2**31 - 1).alias("least"), F.lit(0).alias("i"))
+    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("n"), F.lit(0).alias("sum"), F.lit(2**31 - 1).alias("least"), F.array().cast("array<int>").alias("window"))
 
     def step(a: Column, enters: Column) -> Column:
-        leaves = F.coalesce(F.get(x, a["i"] - WINDOW), F.lit(-1))
+        full = F.size(a["window"]) == WINDOW
+        leaves = F.when(full, F.get(a["window"], F.lit(0))).otherwise(-1)
         n_in, n_out = F.get(a["n"], enters), F.coalesce(F.get(a["n"], leaves), F.lit(0))
-        change = F.get(units, n_in + 1) - F.get(units, n_in) + F.when(leaves >= 0, F.get(units, n_out - 1) - F.get(units, n_out)).otherwise(0)
+        # the character that leaves goes first, so no count exceeds the window
+        change = F.get(units, n_in + 1) - F.get(units, n_in) + F.when(full, F.get(units, n_out - 1) - F.get(units, n_out)).otherwise(0)
         total = a["sum"] + F.when(enters == leaves, 0).otherwise(change)
         counts = F.when(enters == leaves, a["n"]).otherwise(F.transform(a["n"], lambda c, j: c + (j == enters).cast("int") - (j == leaves).cast("int")))
-        # the character that leaves goes first, so no count exceeds the window
-        least = F.when(a["i"] >= WINDOW - 1, F.least(a["least"], total)).otherwise(a["least"])
-        return F.struct(counts.alias("n"), total.alias("sum"), least.alias("least"), (a["i"] + 1).alias("i"))
+        window = F.concat(F.when(full, F.slice(a["window"], 2, WINDOW - 1)).otherwise(a["window"]), F.array(enters))
+        least = F.when(F.size(a["window"]) >= WINDOW - 1, F.least(a["least"], total)).otherwise(a["least"])
+        return F.struct(counts.alias("n"), total.alias("sum"), least.alias("least"), window.alias("window"))
 
     return F.aggregate(x, start, step, lambda a: a["least"])
 
