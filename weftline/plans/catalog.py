@@ -202,10 +202,6 @@ def pca_distances(spark: SparkSession, d: str) -> DataFrame:
     return near.join(a, "src").join(b, "dst").select("src", "dst", r(vec.squared_l2(F.col("a"), F.col("b"))).alias("d2"))
 
 
-def _on(build: Callable[[SparkSession, str], DataFrame], *columns: Column | str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, d: build(spark, d).select(*columns)
-
-
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "frame_minmax": lambda s, d: cells(fr.minmax_scaled(frame0(s, d))),
     "cluster_centroids": lambda s, d: fr.centroids(frame0(s, d)).select("label", F.posexplode("centroid").alias("pos", "x")).select("label", "pos", r("x").alias("x")),
@@ -226,7 +222,7 @@ Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "l1_normalised": l1_shares,
     "knn_graph": knn_query,
     "graph_text_roundtrip": graph_file,
-    "undirected_edges": _on(edges, "frame_id", "u", "v"),
+    "undirected_edges": lambda s, d: edges(s, d).select("frame_id", "u", "v"),
     "degrees": lambda s, d: graph.degrees(edges(s, d)),
     "edge_num_1": lambda s, d: graph.edge_count(edges(s, d), 1),
     "edge_num_2": lambda s, d: graph.edge_count(edges(s, d), 2),
@@ -246,15 +242,15 @@ Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "common_edges": lambda s, d: matching.common_edges(pair(s), graph.directed(links(s, d))).select("src", "dst"),
     "neighbor_ratio": lambda s, d: matching.neighbor_ratio(pair(s), graph.directed(links(s, d)), both(s, d), K).select("item_id", r("ratio").alias("ratio")),
     "discounted_similarity": lambda s, d: _discounted(s, d)[1].select("item_id", r("sim").alias("sim")),
-    "match_edges": _on(_weights, "src", "dst", r("weight").alias("weight")),
+    "match_edges": lambda s, d: _weights(s, d).select("src", "dst", r("weight").alias("weight")),
     "match_edges_norm": lambda s, d: matching.normalised_weights(_weights(s, d)).select("src", "dst", r("weight").alias("weight")),
-    "pairwise_sqdist": _on(_distances, "i", "j", r("d2").alias("d2")),
+    "pairwise_sqdist": lambda s, d: _distances(s, d).select("i", "j", r("d2").alias("d2")),
     "perplexity_beta": lambda s, d: affinity.calibrated(_distances(s, d), PERPLEXITY).select("i", r("beta").alias("beta")),
     "perplexity_beta_folds": lambda s, d: affinity.calibrated_by_folds(_distances(s, d), PERPLEXITY).select("i", r("beta").alias("beta")),
     "mean_sigma": lambda s, d: affinity.mean_sigma(affinity.calibrated(_distances(s, d), PERPLEXITY)).select("frame_id", r("sigma").alias("sigma")),
-    "conditional_p": _on(_conditional, "i", "j", r("p", 9).alias("p")),
+    "conditional_p": lambda s, d: _conditional(s, d).select("i", "j", r("p", 9).alias("p")),
     "joint_p": lambda s, d: affinity.joint(_conditional(s, d)).select("i", "j", r("p", 11).alias("p")),
-    "init_layout": _on(_start, "item_id", r("y0").alias("y0"), r("y1").alias("y1")),
+    "init_layout": lambda s, d: _start(s, d).select("item_id", r("y0").alias("y0"), r("y1").alias("y1")),
     "centred_layout": lambda s, d: descent.centred(_start(s, d)).select("item_id", r("y0").alias("y0"), r("y1").alias("y1")),
     "student_q": lambda s, d: affinity.student(_start(s, d)).select("i", "j", r("num").alias("num"), r("q", 11).alias("q")),
     "kl_force": lambda s, d: _force(s, d)[1].select("item_id", r("f0", 9).alias("f0"), r("f1", 9).alias("f1")),
