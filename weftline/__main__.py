@@ -13,7 +13,7 @@ from .sources import text as files
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="weftline", description=__doc__)
-    parser.add_argument("config", help="JSON with the sections algo and thesne")
+    parser.add_argument("config", help="JSON file of settings")
     parser.add_argument("frames", help="folder of frame files")
     parser.add_argument("out", help="folder for the results; what it holds under the same names is replaced")
     parser.add_argument("--kernel", choices=["cosine", "rbf", "laplacian"], default="cosine")
