@@ -80,6 +80,22 @@ def test_many_matches_in_one_text(spark):
     check(spark, [(1, "token: abcdef9 x " * 5000), (2, "ab-cd/" * 30_000), (3, "secret=" + "Ab1" * 5000 + " " + "f" * 100_000)])
 
 
+SECRET = "9fK2xQ7LmZ4tRb8WcY1vHs6DpN3g"
+KEY = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZWQyNTUxOQAAACB"
+
+
+@pytest.mark.parametrize("text", [f"sample_client_cred={SECRET}", f"2024-05-01/{SECRET}", f"example{SECRET}", f"0123456789_{SECRET}", f"{SECRET}00000", f"xxxxx/{SECRET}", KEY + "x7Qz0Lr2Wk9Tn4Vb", KEY[:70]])
+def test_placeholders_take_only_what_they_cover(spark, text):
+    got = secrets.scan(spark.createDataFrame([(1, f"a {text} b")], "doc_id long, text string")).first()["spans"]
+    assert [(s["start"], s["end"]) for s in got] == [(2, 2 + len(text))]
+
+
+def test_placeholders_alone_are_no_secrets(spark):
+    texts = ["2024-05-01T12-30-45_000000Z", "2024-05-01-how-to-build-your-first-app-12", "example_0123456789_abcdefgh_1", "key1=" + "x" * 10 + SECRET, "2024-05-01" + "-" * 200_000 + "5a", "A1" + "0" * 200_000]
+    got = secrets.scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: [s["kind"] for s in r["spans"] if s["kind"] in secrets.BITS] for r in got} == {i: [] for i in range(len(texts))}
+
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 

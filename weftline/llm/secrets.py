@@ -3,7 +3,7 @@
 Three fixed kinds come from expressions. The method adds high-entropy strings: a window slides over each candidate, the
 counts of its characters change by the one that enters and the one that leaves, and the least sum of c*log2(c) seen
 tells the greatest Shannon entropy. Each character class (hex, alphanumeric, base64) has its own threshold, and an
-allow-list drops candidates that look like words, numbers, placeholders, sequences or identifiers."""
+allow-list drops candidates that look like words, numbers or identifiers, and windows that touch a placeholder or sequence."""
 
 from __future__ import annotations
 
@@ -39,6 +39,10 @@ ALLOWED = [
     "^[0-9]{4}-[0-9]{2}-[0-9]{2}",
     "^[A-Za-z/_+=-]*[0-9]{0,4}$",
 ]
+#: The list of the scan itself: the SQL drops a candidate for a word or date anywhere in it, the scan only for what these leave. Dates stand with a time, words and a short number behind them.
+WHOLE = [p for i, p in enumerate(ALLOWED) if i not in (2, 3, 5)] + ["^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt0-9/_+-]*+[A-Za-z/_+=-]*+[0-9]{0,4}$"]
+#: What a candidate's windows must be clear of: a run of x and the delimited token around it, a date in front, placeholder words and sequences. A and 0 in a row are zero bytes in a key: they cover nothing, but lower the entropy of their windows.
+COVERED = "(?i)(?<![A-Za-z0-9])[A-Za-z0-9]*?x{5}[A-Za-z0-9]*|^[0-9]{4}-[0-9]{2}-[0-9]{2}|example|sample|dummy|placeholder|changeme|redacted|0123456789|12345678|abcdefgh|qwertyui"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SCALE = 1 << 20
 #: c*log2(c) in whole units, so that sums don't depend on their order.
@@ -119,16 +123,18 @@ def _least_units(value: Column) -> Column:
 
 
 def _entropy(text: Column) -> Column:
-    """Candidates that the allow-list doesn't suppress and whose entropy reaches their class's threshold: (start, end, kind)."""
+    """Candidates that the allow-list doesn't suppress and of which a window clear of placeholders reaches their class's threshold: (start, end, kind)."""
     found = F.filter(places(text, CANDIDATE), lambda p: ~_any(p["value"]))
-    rated = F.transform(found, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), _kind(p["value"]).alias("kind"), _least_units(p["value"]).alias("units")))
+    clear = lambda v: F.filter(F.split(v, COVERED, -1), lambda x: F.length(x) >= WINDOW)
+    least = lambda v: F.array_min(F.transform(clear(v), _least_units))
+    rated = F.transform(found, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), _kind(p["value"]).alias("kind"), least(p["value"]).alias("units")))
     limit = lambda k: F.when(k == "entropy_hex", LIMIT["entropy_hex"]).when(k == "entropy_alnum", LIMIT["entropy_alnum"]).otherwise(LIMIT["entropy_base64"])
     return F.filter(rated, lambda p: p["units"] <= limit(p["kind"]))
 
 
 def _any(value: Column) -> Column:
     out = F.lit(False)
-    for pattern in ALLOWED:
+    for pattern in WHOLE:
         out = out | F.rlike(value, F.lit(pattern))
     return out
 
