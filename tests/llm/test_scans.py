@@ -158,3 +158,43 @@ def test_digest_columns(spark, tmp_path):
     got = {r["doc_id"]: r for r in secrets.op2_secret_scan(spark, str(tmp_path)).collect()}
     assert got[1]["base_sha256"] == hashlib.sha256(b"assign:0:14").hexdigest()
     assert (got[2]["n_assign"], got[2]["base_sha256"], got[2]["spans"]) == (0, hashlib.sha256(b"").hexdigest(), "")
+
+
+def alternatives(expression):
+    """What an expression finds, without the optional parts."""
+    import itertools
+    import re._parser as parser
+
+    def texts(tree):
+        out = [""]
+        for op, arg in tree:
+            kind = str(op)
+            if kind == "LITERAL":
+                more = [chr(arg)]
+            elif kind == "IN":
+                more = ["0" if str(arg[0][0]) == "RANGE" else chr(arg[0][1])]
+            elif kind == "BRANCH":
+                more = [t for branch in arg[1] for t in texts(branch)]
+            elif kind == "SUBPATTERN":
+                more = texts(arg[3])
+            elif kind == "MAX_REPEAT":
+                more = texts(arg[2]) if arg[0] else [""]
+            else:
+                raise ValueError(kind)
+            out = [a + b for a, b in itertools.product(out, more)]
+        return out
+
+    return texts(parser.parse(expression))
+
+
+def test_every_alternative_holds_a_keyword():
+    for (label, _, _, expression), keywords in zip(licenses.RULES, licenses.KEYWORDS, strict=True):
+        for text in alternatives(expression):
+            assert any(k in text for k in keywords), (label, text)
+            assert re.search(licenses.ANY, text)
+
+
+def test_alternatives_fire_on_their_own(spark):
+    labels = {"Creative Commons BY-SA 4.0": "cc-by-sa-4.0", "creative commons by": "cc-by", "Licensed under Creative Commons BY NC ND": "cc-by-nc-nd", "FreeBSD License": "bsd-2-clause", "Expat License": "mit"}
+    got = licenses.scan(spark.createDataFrame(list(enumerate(labels)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: [d["label"] for d in r["detections"]] for r in got} == {i: [v] for i, v in enumerate(labels.values())}

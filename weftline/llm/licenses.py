@@ -1,7 +1,7 @@
 """License scans in DataFrame functions only: ordered signature rules over normalised words.
 
-A rule has a keyword, an expression, a label, a confidence and a priority (its place in the table). Only rules whose
-keyword stands in the text are tried. Of overlapping detections those that lie within another are suppressed; of equal
+A rule has keywords, an expression, a label, a confidence and a priority (its place in the table). Only rules of which
+a keyword stands in the text are tried. Of overlapping detections those that lie within another are suppressed; of equal
 intervals the rule of higher priority stays."""
 
 from __future__ import annotations
@@ -134,6 +134,12 @@ def spaced(expression: str) -> str:
 RULES = [(label, confidence, f" {keyword} ", " (?:" + spaced(expression)[1:-1] + ") ") for label, confidence, keyword, expression in rules()]
 
 
+#: Keywords besides a family's own, of alternatives that don't hold it. The SQL has the family's keyword only.
+OTHER = {"(?:cc|creative commons) by": "commons", "freebsd license": "freebsd", "expat license": "expat"}
+#: For each rule the words of which one stands in whatever its expression finds.
+KEYWORDS = [[k, *(f" {other} " for part, other in OTHER.items() if spaced(part)[1:-1] in e)] for _, _, k, e in RULES]
+
+
 def trie(words: list[str]) -> str:
     """An expression of the given words that shares their beginnings, so few alternatives are tried at any place."""
     heads: dict[str, list[str]] = {}
@@ -146,6 +152,8 @@ def trie(words: list[str]) -> str:
 
 
 GATE = f" {trie(list(dict.fromkeys([*(k.strip() for _, _, k, _ in RULES), 'license'])))} "
+#: The same with the other keywords, for the scan.
+ANY = f" {trie(list(dict.fromkeys([*(k.strip() for ks in KEYWORDS for k in ks), 'license'])))} "
 
 
 def normalised(text: Column) -> Column:
@@ -171,15 +179,15 @@ def scan(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     base_of = lambda phrase, label: F.transform(F.when(p.contains(spaced(phrase)), places(p, spaced(phrase), measure=_words)).otherwise(none), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(label).alias("label")))
     base = F.concat(*(base_of(k, v) for k, v in PHRASES.items()))
-    table = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(c).alias("confidence"), F.lit(k).alias("keyword"), F.lit(e).alias("expression")) for i, (label, c, k, e) in enumerate(RULES)))
+    table = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(c).alias("confidence"), F.array(*map(F.lit, KEYWORDS[i])).alias("keywords"), F.lit(e).alias("expression")) for i, (label, c, _, e) in enumerate(RULES)))
 
     def tried(r: Column) -> Column:
         named = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), r["rule"].alias("rule"), r["label"].alias("label"), r["confidence"].alias("confidence"))
         return F.transform(places(p, r["expression"], measure=_words), named)
 
-    able = F.filter(table, lambda r: F.contains(p, r["keyword"]) & F.rlike(p, r["expression"]))
+    able = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(p, k)) & F.rlike(p, r["expression"]))
     nothing = F.array().cast("array<struct<start:int,end:int,rule:int,label:string,confidence:double>>")
-    raw = F.when(F.rlike(p, F.lit(GATE)), F.flatten(F.transform(able, tried))).otherwise(nothing)
+    raw = F.when(F.rlike(p, F.lit(ANY)), F.flatten(F.transform(able, tried))).otherwise(nothing)
     ranked = F.array_sort(F.transform(raw, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), d["rule"].alias("rule"), d["label"].alias("label"), d["confidence"].alias("confidence"))))
 
     def sweep(reach: Column, d: Column) -> tuple[Column, Column]:
