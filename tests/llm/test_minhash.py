@@ -64,6 +64,14 @@ def test_chains_and_large_groups_are_whole(spark, rounds, monkeypatch):
     assert found(got) == classes(rows)
 
 
+def test_wide_buckets_keep_pairs_of_one_common_band(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "WIDE", 4)
+    members = spark.createDataFrame([(7, i, i, 20) for i in range(20)], "key long, a long, comp long, c long")
+    vertices = spark.createDataFrame([(i, 10, [7, 100 + i], [0] * 8) for i in range(20)], "a long, n long, bands array<long>, parity array<long>")
+    got = minhash._across(members, vertices, 0.8).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == [(a, b) for a in range(20) for b in range(a)]
+
+
 def test_empty_table(no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
 

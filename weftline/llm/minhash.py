@@ -26,7 +26,7 @@ from .textkernel import ALNUM, U, Hasher, buffers, lists, mix, ranges, words
 SHINGLE, THRESHOLD, ROWS, BANDS = 5, 0.8, 5, 25
 #: Bits of a set's parity map; see :func:`_near`.
 BITS = 512
-#: A bucket of more members than this, eight million pairs of parity maps, is cut by a second band before pairs are formed.
+#: A bucket of more members than this is dealt into blocks of about so many, and pairs are formed block by block.
 WIDE = 4096
 
 
@@ -239,21 +239,15 @@ def _near(threshold: float) -> Column:
 
 
 def _across(members: DataFrame, vertices: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one bucket whose ends lie in different components; wide buckets are cut by a second band first.
+    """Pairs of one bucket whose ends lie in different components. A wide bucket is dealt into blocks, and each meets each.
 
     members: (key, a, comp, c) of all buckets that hold more than one component, c being the bucket's size."""
-    members = members.join(vertices.select("a", "n", "parity"), "a")
-
-    def pairs(rows: DataFrame) -> DataFrame:
-        x, y = rows.toDF("key", "a", "n_a", "parity_a", "comp_a"), rows.toDF("key", "b", "n_b", "parity_b", "comp_b")
-        return x.join(y, "key").where((F.col("comp_a") < F.col("comp_b")) & _fits(threshold) & _near(threshold)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-
-    columns = ["key", "a", "n", "parity", "comp"]
-    narrow = members.where(F.col("c") <= WIDE).select(columns)
-    wide = members.where(F.col("c") > WIDE).join(vertices.select("a", "bands"), "a")
-    wide = wide.select("a", "n", "parity", "comp", "key", F.explode("bands").alias("band")).where("band <> key")
-    wide = materialize(wide.select(F.xxhash64(F.least("key", "band"), F.greatest("key", "band")).alias("key"), "a", "n", "parity", "comp").distinct(), "wide")
-    return materialize(pairs(narrow).union(pairs(wide)).distinct(), "across")
+    members = members.withColumn("blocks", F.ceil(F.col("c") / WIDE)).join(vertices.select("a", "n", "parity"), "a").withColumn("block", F.pmod(F.xxhash64("a"), "blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    x = members.select("key", F.col("block").alias("i"), every.alias("j"), "a", "n", "parity", "comp").toDF("key", "i", "j", "a", "n_a", "parity_a", "comp_a")
+    y = members.select("key", every.alias("i"), F.col("block").alias("j"), "a", "n", "parity", "comp").toDF("key", "i", "j", "b", "n_b", "parity_b", "comp_b")
+    pairs = x.join(y, ["key", "i", "j"]).where((F.col("comp_a") < F.col("comp_b")) & _fits(threshold) & _near(threshold))
+    return materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "across")
 
 
 def _open(inside: DataFrame, comp: DataFrame | None) -> DataFrame:
