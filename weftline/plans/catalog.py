@@ -167,19 +167,20 @@ def noise(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tsne_layout(spark: SparkSession, d: str) -> DataFrame:
-    return descent.tsne(frame0(spark, d), _start(spark, d), PERPLEXITY, 250)
+    frames = both(spark, d)
+    return descent.tsne(frames, descent.initial(frames, "layout"), PERPLEXITY)
 
 
 def joint_layouts(spark: SparkSession, d: str) -> DataFrame:
     from ..config import Config
     from .pipeline import analyse
 
-    got = analyse(spark, both(spark, d), Config(K, PERPLEXITY, GAMMA, "two frames", (0, 1)), plain_steps=250, joint_steps=250)
+    got = analyse(spark, both(spark, d), Config(K, PERPLEXITY, GAMMA, "two frames", (0, 1)))
     return got.layouts
 
 
 def sampled(spark: SparkSession, d: str) -> DataFrame:
-    return graphlets.sampled_counts(edges(spark, d).where("frame_id = 0"), 50, 1)
+    return graphlets.sampled_counts(edges(spark, d), seed=1)
 
 
 def graph_file(spark: SparkSession, d: str) -> DataFrame:
