@@ -38,7 +38,7 @@ def passages(seed, n=80):
 @pytest.mark.parametrize("block", [1, 500, 1 << 23])
 def test_equals_brute_force(spark, block):
     rows = passages(block)
-    got = substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), block=block, long=15)
+    got = substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), block=block, cell=7 if block == 500 else substrings.CELL)
     assert found(got) == brute(rows)
 
 
@@ -66,11 +66,58 @@ def test_paths_name_their_source(spark):
 def test_a_false_source_raises(spark, monkeypatch):
     w = [f"w{i}" for i in range(100)]
     rows = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w))], "doc_id long, text string")
-    right = substrings._digests
-    # one document is asked for another's digest
-    monkeypatch.setattr(substrings, "_digests", lambda block, begin, n: right(block, begin, n) + block.keys[0])
+    right, calls = substrings._emit_pieces, []
+
+    def other(*args):
+        """Pieces that name a place one word further on."""
+        calls.append(args)
+        go = right(*args)
+
+        def shifted(group):
+            import pyarrow.compute as pc
+
+            got = go(group)
+            return got.set_column(got.column_names.index("lo"), "lo", pc.add(got.column("lo"), 1))
+
+        return shifted
+
+    monkeypatch.setattr(substrings, "_emit_pieces", other)
     with pytest.raises(RuntimeError, match="differ from their source"):
         substrings.repeated_spans(rows)
+    assert calls
+
+
+def thue_morse(n):
+    """Two words that meet under every sum of powers modulo 2**64."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_a_pattern_stay_apart(spark):
+    x, y = thue_morse(1024)
+    tail = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([x, *tail])), (3, " ".join([y, *tail]))]
+    assert found(substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_paths_end_where_texts_part(spark):
+    a, b, c = ([f"{x}{i}" for i in range(40)] for x in "abc")
+    rows = [(1, " ".join(a + b)), (2, " ".join(a + c)), (3, " ".join(a + b)), (4, " ".join(["z", *a, *c])), (5, " ".join(a + b + a))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for cell in (16, 512):
+        got = {r["doc_id"]: r["spans"] for r in substrings.repeated_spans(frame, cell=cell).collect()}
+        assert found(substrings.repeated_spans(frame, cell=cell)) == brute(rows)
+        # what follows a branches, so the path that lies within a ends there, whatever the cells
+        assert [(s["start"], s["n"], s["path_id"], s["path_start"]) for s in got[2]] == [(0, 40, 1, 0)]
+        assert [(s["start"], s["n"]) for s in got[3]] == [(0, 40), (28, 52)]
+        assert [(s["start"], s["n"]) for s in got[4]] == [(1, 40), (29, 52)]
+
+
+def test_circles_end(spark):
+    ring = [f"r{i}" for i in range(20)]
+    rows = [(i, " ".join(ring * (3 + i))) for i in range(4)]
+    for cell in (8, 512):
+        assert found(substrings.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), cell=cell)) == brute(rows)
 
 
 def test_query_columns(spark, tmp_path):

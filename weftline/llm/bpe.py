@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import replayable, texts, tune
-from .textkernel import SLICE, Hasher, U, buffers
+from .common import buckets_for, replayable, texts, tune
+from .textkernel import SLICE, Hasher, U, buffers, gather
 
 #: Bytes of text in a block, but for a block of one longer text.
 BLOCK = 8 << 20
@@ -194,12 +194,6 @@ def _encoder(model):
     return run
 
 
-def gather(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The numbers first[i], first[i] + 1, ... first[i] + counts[i] - 1 for each i in turn."""
-    ends = np.cumsum(counts)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - counts), counts)
-
-
 def byte_letters() -> dict[str, int]:
     """The byte that each letter of a byte-level vocabulary stands for: printable Latin-1 stands for itself, the rest follow from 256."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -288,10 +282,10 @@ def encode_decode(keyed: DataFrame, model: str, block: int = BLOCK, buckets: int
     spark = keyed.sparkSession
     tune(spark)
     keyed = replayable(keyed.select("key", F.coalesce("text", F.lit("")).alias("text")), "texts")
-    buckets = buckets or 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or buckets_for(keyed)
     held = spark.sparkContext.broadcast(model)
     bundles = keyed.mapInArrow(_bundles(block, buckets), "bucket int, block long, data binary")
-    words = bundles.groupBy("bucket").applyInArrow(_encoder(held), "block long, data binary")
+    words = bundles.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_encoder(held), "block long, data binary")
     rows = keyed.mapInArrow(_positions(block), "block long, kind int, keys array<long>, data binary")
     rows = rows.union(words.select("block", F.lit(1), F.lit(None).cast("array<long>"), "data"))
     table = piece_table(model)

@@ -10,6 +10,8 @@ from ..plans.storage import write_table as materialize
 
 #: Rows in one Arrow batch; a batch of long texts then stays far below a worker's memory.
 ARROW_ROWS = 2000
+#: Bytes of text for which there is one bucket; a bucket's rows are one group of a kernel.
+BUCKET = 4 << 20
 
 
 def tune(spark: SparkSession) -> None:
@@ -34,3 +36,9 @@ def replayable(docs: DataFrame, tag: str) -> DataFrame:
     plan = docs._jdf.queryExecution().executedPlan().toString()
     moves = any(x in plan for x in ("Exchange", "Scan ExistingRDD", "LocalTableScan", "InMemoryTableScan", "MapInArrow", "MapInPandas", "Union"))
     return materialize(docs, tag) if moves else docs
+
+
+def buckets_for(docs: DataFrame, column: str = "text") -> int:
+    """How many buckets the hashes of so much text are dealt into: they follow the input, so that no bucket grows with it."""
+    size = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return max(8, -(-size // BUCKET))

@@ -8,10 +8,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 #: Bytes of text whose temporary arrays are held at once.
 SLICE = 1 << 20
+#: Words of up to so many times eight bytes are hashed together.
+LANES = 16
+#: What is left of eight bytes of which the first 0 to 8 count.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -79,38 +84,58 @@ def words(data: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.nd
 
 
 class Hasher:
-    """Hashes of byte ranges and of windows of words: polynomials modulo 2**64 over random byte values, then mixed."""
+    """Hashes of byte ranges and of windows of words.
+
+    Words are read eight bytes at a time, and two registers that finalisers stir keep 128 bits from one step to the next, so
+    no pattern of letters makes words meet, as patterns do in sums of powers. Longer words go to xxhash as they are."""
 
     def __init__(self, seed: int = 1) -> None:
-        rng = np.random.default_rng(seed)
-        self.values = rng.integers(0, 2**64, 256, dtype=np.uint64) | U(1)
-        self.base = int(rng.integers(1, 2**63)) * 2 + 1
-        self.step = U(int(rng.integers(1, 2**63)) * 2 + 1)
         self.seed = seed
-        self._power(1 << 16)
-
-    def _power(self, n: int) -> None:
-        def powers(x: int) -> np.ndarray:
-            out = np.full(n, U(x))
-            out[0] = U(1)
-            return np.cumprod(out, dtype=np.uint64)
-
-        self.up, self.down = powers(self.base), powers(pow(self.base, -1, 2**64))
+        self.step = U(int(np.random.default_rng(seed).integers(1, 2**63)) * 2 + 1)
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         out, a, n = np.empty(len(starts), np.uint64), 0, len(starts)
         while a < n:
             b = max(a + 1, int(np.searchsorted(ends, starts[a] + SLICE, side="right")))
-            lo, hi = int(starts[a]), int(ends[b - 1])
-            if hi - lo >= len(self.up):
-                self._power(1 << (hi - lo).bit_length())
-            acc = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(self.values[data[lo:hi]] * self.up[: hi - lo], out=acc[1:])
-            s, e = starts[a:b] - lo, ends[a:b] - lo
-            out[a:b] = mix((acc[e] - acc[s]) * self.down[s] ^ (e - s).astype(np.uint64), self.seed)
+            out[a:b] = self._lanes(data, starts[a:b], ends[a:b])
             a = b
         return out
 
+    def _lanes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        x = mix(size.astype(np.uint64), self.seed)
+        y = mix(x, 3)
+        long = np.flatnonzero(size > LANES * 8)
+        brief = size <= LANES * 8
+        if len(long) < len(size):
+            lo = int(starts[brief][0])
+            raw = np.zeros(int(ends[brief][-1]) - lo + 8, np.uint8) if not len(long) else None
+            if raw is None:  # the long ones' bytes are left out
+                got = gather(starts[brief], size[brief])
+                raw = np.zeros(len(got) + 8, np.uint8)
+                raw[:-8] = data[got]
+                at = np.cumsum(size[brief]) - size[brief]
+            else:
+                raw[:-8] = data[lo : lo + len(raw) - 8]
+                at = starts - lo
+            lanes = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+            todo, left = np.flatnonzero(brief), size[brief]
+            for j in range(LANES):
+                go = left > 0
+                if not go.all():
+                    todo, at, left = todo[go], at[go], left[go]
+                if not len(todo):
+                    break
+                lane = lanes[at] & MASKS[np.minimum(left, 8)]
+                u = mix(x[todo] ^ lane, 2 * j + 101)
+                y[todo] = mix(y[todo] + u * U(0x9FB21C651E98DF25) + lane, 2 * j + 102)
+                x[todo] = u
+                at, left = at + 8, left - 8
+        out = mix(x ^ (y << U(32) | y >> U(32)), 5)
+        for i in long.tolist():
+            out[i] = U(xxhash.xxh3_64_intdigest(memoryview(data[starts[i] : ends[i]]), self.seed))
+        return out
+
     def windows(self, h: np.ndarray, k: int) -> np.ndarray:
         """The hash of each k consecutive word hashes."""
         n = len(h) - k + 1
@@ -123,6 +148,12 @@ class Hasher:
         return mix(acc, self.seed + 1)
 
 
+def gather(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers first[i], first[i] + 1, ... first[i] + counts[i] - 1 for each i in turn."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - counts), counts)
+
+
 def lists(counts: np.ndarray, values: pa.Array) -> pa.Array:
     """A list array of the given row lengths."""
     off = np.zeros(len(counts) + 1, np.int32)
