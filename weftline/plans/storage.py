@@ -41,6 +41,12 @@ def write_table(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def keep_path(spark: SparkSession, path: str) -> str:
+    """``path``, which goes when the driver's process ends, as the tables of :func:`write_table` do."""
+    _written[path] = spark
+    return path
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables of :func:`write_table` that nothing will read again."""
     for df in tables:
