@@ -12,28 +12,33 @@ from weftline.llm.common import materialize, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the threshold; the rest goes."""
+    """Documents whose quality score reaches the threshold; the rest goes. A null text is scored as the empty one; rows that are
+    equal fare alike; an empty table gives no rows."""
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, that of the smallest doc_id; a row without an id stays."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each near-duplicate class, that of the smallest doc_id; a row without an id goes for one with.
+
+    Rows equal throughout are copies of each other, and a shared id doesn't make rows copies. Texts without words, null ones
+    too, are one class. An empty table gives no rows."""
+    return minhash.one_of_each(docs, counted=True)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked."""
+    """All documents, secrets masked; null and empty texts stay as they are."""
     return secrets.redacted(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them, from never to three times."""
+    """Documents as often as the mixture takes them, from never to three times; texts without words are never taken. Of rows that
+    are equal throughout some may go and some stay. An empty table gives no rows."""
     return mixing.repeat_rows(docs)
 
 
 def bpe_encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the digest of the decoded text, a row for each row of ``docs``."""
+    """doc_id, n_tokens, ids and the digest of the decoded text, a row for each row of ``docs``, repeated ones too. A null text is
+    the empty one, without ids; an empty table gives no rows."""
     coded = bpe.encode_decode(docs.select(F.col("doc_id").cast("long").alias("key"), "text"), bpe.vocabulary())
     return coded.select(F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

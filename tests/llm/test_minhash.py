@@ -72,6 +72,34 @@ def test_wide_buckets_keep_pairs_of_one_common_band(spark, monkeypatch):
     assert sorted((r["a"], r["b"]) for r in got) == [(a, b) for a in range(20) for b in range(a)]
 
 
+def test_words_of_a_pattern_stay_apart(spark):
+    """Words that meet under every sum of powers modulo 2**64."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    x, y = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    rows = spark.createDataFrame([(1, " ".join([x] * 9)), (2, " ".join([y] * 9)), (3, x), (4, y)], "doc_id long, text string")
+    for counted in (False, True):
+        assert [c for _, c in found(minhash.near_duplicates(rows, counted=counted))] == [1, 2, 3, 4]
+
+
+def test_equal_words_are_one_vertex_whatever_stands_between(spark):
+    rows = [(1, "One two, three; four five SIX"), (2, "one two three four five six "), (3, "one two three four fivesix"), (4, "onetwo three four five six"), (5, "!"), (6, ""), (7, None)]
+    assert found(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == classes(rows)
+
+
+def test_one_of_each_keeps_rows_not_ids(spark):
+    a, b = ("words of the first text " * 3, "another text about other things altogether " * 2)
+    rows = [(1, a, "x"), (1, a, "x"), (1, b, "x"), (2, b, "y"), (None, a, "z"), (None, "only here stands this text of some words", "z"), (3, None, "w"), (4, "", "w")]
+    got = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, row_number string"))
+    assert got.columns == ["doc_id", "text", "row_number"]
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == sorted([("1", a), ("1", b), ("None", rows[5][1]), ("3", None)])
+
+
+def test_query_columns(spark, data):
+    got = minhash.op1_minhash_near_dedup(spark, data)
+    assert got.dtypes == [("doc_id", "bigint"), ("class_id", "bigint"), ("kept", "boolean")]
+    assert got.count() == spark.read.parquet(f"{data}/documents.parquet").count()
+
+
 def test_empty_table(no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
 

@@ -24,6 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spare(name: str, taken: list[str]) -> str:
+    """``name`` or, where a column has it already in whatever case, the same with a number behind it."""
+    lower, i, out = {c.lower() for c in taken}, 0, name
+    while out.lower() in lower:
+        i += 1
+        out = f"{name}_{i}"
+    return out
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``text`` alone, so that further columns can't clash; a null text is the empty one."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -6,12 +6,14 @@ regions below a rank that yields about k ln k + 2k of them, deals them over k co
 earliest at each. Two sets then agree at a coordinate with the probability of their weighted Jaccard similarity, and a
 set of n elements costs O(n + k log k), not O(n k).
 
-Signatures are cut into bands. Texts with equal shingle sets are one vertex from the start. Every member of a bucket is
-compared exactly with the bucket's smallest id; then pairs that share a bucket but not yet a component are compared
-too, so no link that the bands offer is lost, and a group of near copies costs a star, not all its pairs."""
+Signatures are cut into bands. Texts of the same words are one vertex from the start, by a cryptographic digest of their
+words. Members of a bucket are compared whole with one of them, another in each round; then pairs that share a bucket but
+not yet a component are compared too, so no link that the bands offer is lost, and a group of near copies costs a star,
+not all its pairs."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, materialize, release, texts, tune
+from .common import free_shuffles, materialize, release, spare, table, texts, tune
 from .components import components
 from .textkernel import ALNUM, U, Hasher, buffers, lists, mix, ranges, words
 
@@ -101,6 +103,23 @@ def shingles(hasher: Hasher, data: np.ndarray, offs: np.ndarray, size: int) -> t
     return rows[at], sh[at], np.diff(np.append(at, len(rows)))
 
 
+def digests(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """For each text two numbers, the digest of its words with a space between."""
+    _, ends, row = words(data, offs, ALNUM)
+    inside = ALNUM[data]
+    upto = np.append(0, np.cumsum(inside))
+    size = upto[offs[1:]] - upto[offs[:-1]]
+    last = np.zeros(len(data), bool)
+    last[ends - 1] = True
+    at = np.flatnonzero(inside)
+    raw = np.insert(data[at], np.flatnonzero(last[at]) + 1, 32)
+    edge = np.zeros(len(offs), np.int64)
+    np.cumsum(size + np.bincount(row, minlength=len(offs) - 1), out=edge[1:])
+    mine = memoryview(raw)
+    got = b"".join(hashlib.blake2b(mine[a:b], digest_size=16).digest() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True))
+    return np.frombuffer(got, np.int64).reshape(-1, 2)
+
+
 def parity(row: np.ndarray, element: np.ndarray, count: np.ndarray | None, n_rows: int) -> np.ndarray:
     """For each set (or bag, each copy of an element apart) whether an odd number of elements falls on each of BITS places."""
     if count is not None:
@@ -122,12 +141,7 @@ def _sketch(size: int, k: int, per_band: int, counted: bool):
                 n = hi - lo
                 row, sh, cnt = shingles(hasher, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], size)
                 weight = cnt.astype(np.float64) if counted else np.ones(len(row))
-                ident = sh ^ mix(cnt.astype(np.uint64), 5) if counted else sh
-                sums = []
-                for salt in (21, 22):
-                    acc = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(ident, salt))])
-                    edge = np.searchsorted(row, np.arange(n + 1))
-                    sums.append(acc[edge[1:]] - acc[edge[:-1]])
+                same = digests(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 sig = dart_minhash(row, sh, weight, n, k)
                 per = np.bincount(row, weight, n)
                 has = per > 0
@@ -139,7 +153,7 @@ def _sketch(size: int, k: int, per_band: int, counted: bool):
                     key[:, b] = acc
                 odd = parity(row, sh, cnt if counted else None, n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array(per.astype(np.int64)), lists(np.where(has, bands, 0), pa.array(key[has].reshape(-1).view(np.int64))), lists(np.full(n, BITS // 64), pa.array(odd.reshape(-1)))],
+                    [batch.column(0).slice(lo, n), pa.array(same[:, 0]), pa.array(same[:, 1]), pa.array(per.astype(np.int64)), lists(np.where(has, bands, 0), pa.array(key[has].reshape(-1).view(np.int64))), lists(np.full(n, BITS // 64), pa.array(odd.reshape(-1)))],
                     names=["doc_id", "d1", "d2", "n", "bands", "parity"],
                 )
 
@@ -147,7 +161,7 @@ def _sketch(size: int, k: int, per_band: int, counted: bool):
 
 
 def sketches(docs: DataFrame, size: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, counted: bool = False) -> DataFrame:
-    """doc_id; d1, d2: a digest of the shingle set; n: its weight; bands: one key for each band (none for a text
+    """doc_id; d1, d2: a digest of the words; n: the weight of their shingles; bands: one key for each band (none for a text
     without words); parity: the set's parity map."""
     tune(docs.sparkSession)
     return texts(docs).select("doc_id", normalised(F.col("text")).alias("text")).mapInArrow(_sketch(size, rows * bands, rows, counted), "doc_id long, d1 long, d2 long, n long, bands array<long>, parity array<long>")
@@ -161,7 +175,6 @@ def _sets(size: int, counted: bool):
             for lo, hi in ranges(offs):
                 row, sh, cnt = shingles(hasher, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], size)
                 edge = np.searchsorted(row, np.arange(hi - lo + 1))
-                # 40 bits of each shingle, unless the counts are wanted too
                 raw = [_pack(sh[a:b], cnt[a:b] if counted else None) for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(raw, pa.binary())], names=["doc_id", "shingles"])
 
@@ -169,15 +182,12 @@ def _sets(size: int, counted: bool):
 
 
 def _pack(sh: np.ndarray, cnt: np.ndarray | None) -> bytes:
-    five = np.ascontiguousarray(sh.view(np.uint8).reshape(-1, 8)[:, 3:]).tobytes()
-    return five if cnt is None else five + cnt.astype("<u4").tobytes()
+    return sh.tobytes() if cnt is None else sh.tobytes() + cnt.astype("<u4").tobytes()
 
 
 def _unpack(raw: bytes, counted: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    n = len(raw) // (9 if counted else 5)
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, 3:] = np.frombuffer(raw, np.uint8, n * 5).reshape(n, 5)
-    return wide.view(np.uint64).reshape(-1), np.frombuffer(raw, "<u4", n, n * 5).astype(np.float64) if counted else None
+    n = len(raw) // (12 if counted else 8)
+    return np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, "<u4", n, n * 8).astype(np.float64) if counted else None
 
 
 def _compare(threshold: float, counted: bool):
@@ -259,7 +269,7 @@ def _open(inside: DataFrame, comp: DataFrame | None) -> DataFrame:
     return materialize(members.join(sizes, "key").select("key", "a", "comp", "c", "crossing"), "open")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, counted: bool = False, rounds: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, counted: bool = False, rounds: int = 4) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id (the smallest doc_id that links reach), kept (doc_id = class_id).
 
     A link joins two texts whose sets (or, ``counted``, bags) of ``size`` consecutive words reach the Jaccard
@@ -268,8 +278,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     document; a row without one has no class and is kept. An empty table gives no rows. Texts are taken whole.
     With 25 bands of 5 a pair at 0.8 is found with probability 0.99995, and more at every higher similarity.
 
-    In each of ``rounds`` rounds the members of a bucket are compared with one of them, another each round; what then
-    lies in different components of one bucket is compared pair by pair."""
+    In up to ``rounds`` rounds the members of a bucket are compared with one of them, another each round, until few pairs
+    are left; what then lies in different components of one bucket is compared pair by pair."""
     base = materialize(sketches(docs, size, rows, bands, counted), "sketches")
     known = base.where("doc_id is not null")
     groups = materialize(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("a"), F.min_by(F.struct("bands", "parity"), "doc_id").alias("s")).select("d1", "d2", "n", "a", "s.*"), "groups")
@@ -309,5 +319,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     return out.union(base.where("doc_id is null").select("doc_id", F.lit(None).cast("long"), F.lit(True)))
 
 
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each class of :func:`near_duplicates` the row of the smallest doc_id stays.
+
+    Every row is a document of its own here, whatever its id: of rows equal throughout one stays, rows without an id come
+    last, and rows of different texts that share an id don't touch each other."""
+    number = spare("row_number", docs.columns)
+    rows = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    classes = near_duplicates(rows.select(F.col(number).alias("doc_id"), "text"), **options)
+    known = rows.select(F.col(number).alias("r"), F.col("doc_id").cast("long").alias("d")).join(classes.select(F.col("doc_id").alias("r"), "class_id"), "r")
+    order = F.struct(F.col("d").isNull().alias("n"), "d", "r")
+    first = materialize(known.groupBy("class_id").agg(F.min(order).alias("o")).select(F.col("o.r").alias(number)), "first")
+    return rows.join(first, number, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(table(spark, sf_dir, "documents"), counted=True)
