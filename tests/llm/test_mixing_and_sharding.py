@@ -72,6 +72,22 @@ def test_hot_length_is_split(spark, monkeypatch):
         assert r["m"] <= 3
 
 
+def test_equal_rows_fill_their_quota(spark):
+    rows = [(None, "a", 10)] * 600 + [(5, "b", 10)] * 90 + [(None, "b", 10)] * 10
+    frame = spark.createDataFrame(rows, "doc_id long, source string, words long")
+    for table in (frame, frame.repartition(7)):
+        got = mixing.mixed(table, F.col("words")).groupBy("row.source").agg(F.sum(F.col("size") * F.col("times")).alias("k"), F.first("target").alias("t"), F.max("times").alias("m")).collect()
+        assert {(r["source"], r["k"], r["t"]) for r in got} == {("a", 5000, 5000.0), ("b", 2000, 2000.0)}
+    assert mixing.mixed(frame.withColumn("more", F.create_map(F.lit("x"), F.col("words"))), F.col("words")).count() == 700
+
+
+def test_query_columns_of_the_mix(spark, tmp_path):
+    spark.createDataFrame([(1, "a b c", "s"), (2, None, "s"), (3, "x", None)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op9_mixing(spark, str(tmp_path))
+    assert got.dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("source_size", "bigint"), ("target", "double"), ("taken", "bigint")]
+    assert sorted(map(tuple, got.collect())) == [(1, 3, 3, 20 / 7, 3), (2, 0, 3, 20 / 7, 0), (3, 1, 1, 8 / 7, 1)]
+
+
 def cost_of(flow, cost):
     return sum(f * c for fs, cs in zip(flow, cost, strict=True) for f, c in zip(fs, cs, strict=True))
 
@@ -136,10 +152,63 @@ def test_hot_text_is_split(spark):
     assert all(r["m"] == r["n"] - 1 for r in got)
 
 
+def test_light_texts_of_a_heavy_text_s_block_stay_together(spark):
+    light = [(10_000 + 30 * t + i, f"light {t}") for t in range(20) for i in range(30)]
+    rows = [(i, "the same") for i in range(4000)] + light
+    got = resharding.reshard(spark.createDataFrame(rows, "doc_id long, text string"), blocks=1).collect()
+    text = dict(rows)
+    at = {}
+    for r in got:
+        at.setdefault(text[r["doc_id"]], set()).add(r["shard"])
+    load = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
+    assert max(load) < 1.1 * min(load)
+    assert len(at["the same"]) > 4
+    assert all(len(shards) == 1 for t, shards in at.items() if t != "the same")
+
+
+def test_a_text_of_most_of_a_shard_stays_together(spark):
+    rows = [(i, "the same" if i < 450 else f"text {i:4}") for i in range(4000)]
+    got = resharding.reshard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r["shard"] for r in got if r["doc_id"] < 450}) == 1
+    load = [sum(r["size"] for r in got if r["shard"] == s) for s in range(8)]
+    assert max(load) - min(load) < 0.02 * max(load)
+
+
+def store_of(spark, tmp_path, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("x"))
+    store = resharding.lay_out(docs, str(tmp_path / "store"), 3, 64)
+    return store, lambda: sorted((str(r["doc_id"]), r["text"], r["shard"], r[store.shard]) for r in store.read(spark).collect())
+
+
 def test_only_affected_files_are_rewritten(spark, tmp_path):
-    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
-    plan = docs.select("doc_id", (F.col("doc_id") % 4).cast("int").alias("old_shard"), F.when(F.col("doc_id") == 5, 2).otherwise(F.col("doc_id") % 4).cast("int").alias("shard"))
-    plan = plan.withColumn("slot", F.col("doc_id"))
-    assert resharding.rewrite(docs, plan, str(tmp_path / "shards")) == [1, 2]
-    got = spark.read.parquet(str(tmp_path / "shards"))
-    assert sorted((r["shard"], r["doc_id"]) for r in got.collect()) == sorted((2 if i == 5 else i % 4, i) for i in range(40) if i % 4 in (1, 2))
+    store, held = store_of(spark, tmp_path, [(None if i % 4 == 0 else i % 10, f"text {i % 37}") for i in range(200)])
+    plan = resharding.plan_for(spark, store, [1.0, 1.0, 1.0])
+    first = held()
+    files = lambda s: sorted(p.name for p in (tmp_path / "store" / f"{store.shard}={s}").glob("*.parquet"))
+    one = next(p for p, s in sorted(plan.where.items()) if p[0] % 3 == 0)
+    plan.where = {p: p[0] % 3 for p in plan.where} | {one: 1}
+    old = [files(s) for s in range(3)]
+    assert resharding.rewrite(spark, store, plan) == [0, 1]
+    assert files(2) == old[2] and files(0) != old[0] and files(1) != old[1]
+    assert [x[:3] for x in held()] == [x[:3] for x in first]
+    assert resharding.rewrite(spark, store, resharding.Plan({p: p[0] % 3 for p in plan.where}, [(b, c, b % 3, 1) for b, c in plan.where])) == []
+
+
+def test_an_emptied_shard_leaves_no_rows(spark, tmp_path):
+    store, held = store_of(spark, tmp_path, [(i % 12, f"text {i % 12}") for i in range(16)])
+    first = held()
+    plan = resharding.plan_for(spark, store, [1.0, 0.0, 1.0])
+    assert 1 in resharding.rewrite(spark, store, plan)
+    assert [x[:3] for x in held()] == [x[:3] for x in first]
+    assert {x[3] for x in held()} <= {0, 2}
+    slots = {}
+    for r in resharding.numbered(spark, store, plan).collect():
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_query_columns_of_the_shards(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = resharding.op8_resharding(spark, str(tmp_path))
+    assert got.dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("text_crc32", "bigint"), ("law", "string"), ("shard", "int"), ("slot", "bigint"), ("grown_shard", "int")]
+    assert sorted((r["doc_id"], r["size"], r["law"], r["grown_shard"]) for r in got.collect()) == [(1, 2, "bytes", None), (2, 1, "bytes", None)]

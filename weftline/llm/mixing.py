@@ -23,8 +23,8 @@ KNAPSACK = 1 << 16
 SPREAD = 10
 LOW = 63 - SPREAD
 LAST = 2**63 - 1
-#: Rows of the plan, one for each length of each source, up to which it is broadcast.
-BROADCAST = 500_000
+#: Bytes of the plan, which has a row for each length of each source, up to which it is broadcast.
+BROADCAST = 16 << 20
 
 
 def n_words(text: Column) -> Column:
@@ -103,47 +103,59 @@ def mixed(docs: DataFrame, size: Column, weights: tuple[float, ...] = WEIGHTS, s
     """The rows of ``docs`` as the struct ``row``, with size, source_size, target and times: how often the mix takes the row.
 
     Sources stand in code point order, null last; ``weights`` repeat over them. A document is taken at most three times;
-    one of size 0 is never taken. Of a length that is taken in part go the rows up to a cut in the order of a seeded hash of
-    doc_id, so no text moves; rows that share source, size and doc_id fare alike. Reruns and other partitions give the same
-    rows; an empty table gives none. The sources' sums go to the driver, a row each."""
+    one of size 0 is never taken. Of a length that is taken in part go exactly as many rows as its share says, by a seeded
+    hash of the whole row; of rows that are equal throughout, as null or repeated ids may make them, some go and some
+    stay. Reruns and other partitions give the same rows; an empty table gives none. The sources' sums go to the driver,
+    a row each."""
     spark = docs.sparkSession
     names = docs.columns
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    h, ident = F.xxhash64(F.lit(seed), "doc_id").bitwiseAND(F.lit(LAST)), F.coalesce(F.col("doc_id").cast("long"), F.lit(-LAST))
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), key.alias("k"), size.cast("long").alias("size"), h.alias("h"), ident.alias("ident"))
-    slim = materialize(keyed.select("k", "size", "h", "ident", F.shiftright("h", LOW).cast("int").alias("part")), "slim")
-    counts = materialize(slim.groupBy("k", "size", "part").agg(F.count("*").alias("n")), "counts")
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64(*hashed)).bitwiseAND(F.lit(LAST))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), key.alias("k"), size.cast("long").alias("size"), h.alias("h"), F.monotonically_increasing_id().alias("number"))
+    keyed = materialize(keyed.withColumn("part", F.shiftright("h", LOW).cast("int")), "keyed")
+    counts = materialize(keyed.groupBy("k", "size", "part").agg(F.count("*").alias("n")), "counts")
     sums = [(r["k"], int(r["s"])) for r in counts.groupBy("k").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect()]
     sums.sort(key=lambda r: (r[0] == "n", r[0]))
     goal = targets([s for _, s in sums], [float(weights[i % len(weights)]) for i in range(len(sums))])
     goals = spark.createDataFrame([(k, s, t) for (k, s), t in zip(sums, goal, strict=True)], "k string, source_size long, target double")
     lengths = counts.groupBy("k", "size").agg(F.sum("n").alias("n")).join(F.broadcast(goals), "k")
     fitted = materialize(lengths.select("k", "size", "n", "target").groupBy("k").applyInPandas(_fitter("k"), "k string, size long, n long, times int, extra long"), "fitted")
-    cuts = _cuts(slim, counts, fitted)
-    plan = lengths.select("k", "size", "source_size", "target").join(fitted.select("k", "size", "times", "extra"), ["k", "size"]).join(cuts, ["k", "size"], "left")
+    plan = lengths.select("k", "size", "source_size", "target").join(fitted.select("k", "size", "times", "extra"), ["k", "size"]).join(_cuts(keyed, counts, fitted), ["k", "size"], "left")
     plan = materialize(plan.withColumnRenamed("size", "length"), "plan")
-    dealt = keyed.join(F.broadcast(plan) if plan.count() <= BROADCAST else plan, (keyed["k"] == plan["k"]) & (keyed["size"] == plan["length"]))
-    below = (F.col("h") < F.col("cut_h")) | ((F.col("h") == F.col("cut_h")) & (F.col("ident") <= F.col("cut_id")))
+    plan_bytes = plan.agg(F.sum(F.octet_length("k") + 64)).first()[0] or 0
+    dealt = keyed.join(F.broadcast(plan) if plan_bytes <= BROADCAST else plan, (keyed["k"] == plan["k"]) & (keyed["size"] == plan["length"]))
+    below = (F.col("h") < F.col("cut_h")) | ((F.col("h") == F.col("cut_h")) & (F.col("number") <= F.col("cut_number")))
     times = F.when(F.col("size") > 0, F.col("times") + F.coalesce(below, F.lit(False)).cast("int")).otherwise(0)
     return dealt.select("row", "size", "source_size", "target", times.alias("times"))
 
 
-def _cuts(slim: DataFrame, counts: DataFrame, fitted: DataFrame) -> DataFrame:
-    """(k, size, cut_h, cut_id): up to where a length's rows are taken once more, by (h, ident); lengths without such are absent.
+def _cuts(keyed: DataFrame, counts: DataFrame, fitted: DataFrame) -> DataFrame:
+    """(k, size, cut_h, cut_number): up to where a length's rows are taken once more, by (h, number); lengths without such are absent.
 
-    Counts of hash ranges tell the range in which the cut lies; only that range's rows are ranked."""
+    Counts of hash ranges tell the range in which the cut lies, counts of that range's hashes the hash. Where only some of the
+    rows of one hash are to go, which are equal rows, their counts by the task that numbered them tell the task."""
     upto = F.sum("n").over(Window.partitionBy("k", "size").orderBy("part"))
     parts = counts.select("k", "size", "part", "n", (upto - F.col("n")).alias("before")).join(fitted.where("extra > 0").select("k", "size", "extra"), ["k", "size"])
     last = parts.where("before < extra").groupBy("k", "size").agg(F.max_by(F.struct("part", "n", (F.col("extra") - F.col("before")).alias("take")), "part").alias("p")).select("k", "size", "p.*")
     last = materialize(last, "last")
     low = F.shiftleft(F.col("part").cast("long"), LOW)
-    whole = last.where("take >= n").select("k", "size", (low + F.lit(2**LOW - 1)).alias("cut_h"), F.lit(LAST).alias("cut_id"))
-    rows = slim.join(last.where("take < n").select("k", "size", "part", "take"), ["k", "size", "part"])
-    # of equal rows that would straddle the cut none is taken
-    so_far = F.count("*").over(Window.partitionBy("k", "size", "part").orderBy("h", "ident"))
-    inside = rows.withColumn("so_far", so_far).groupBy("k", "size", "part").agg(F.max(F.when(F.col("so_far") <= F.col("take"), F.struct("h", "ident"))).alias("c"))
-    inside = inside.select("k", "size", F.coalesce(F.col("c.h"), low - 1).alias("cut_h"), F.coalesce(F.col("c.ident"), F.lit(LAST)).alias("cut_id"))
-    return whole.union(inside)
+    whole = last.where("take >= n").select("k", "size", (low + F.lit(2**LOW - 1)).alias("cut_h"), F.lit(LAST).alias("cut_number"))
+    hashes = keyed.join(last.where("take < n").select("k", "size", "part", "take"), ["k", "size", "part"]).groupBy("k", "size", "h").agg(F.count("*").alias("n"), F.first("take").alias("take"))
+    found = hashes.withColumn("upto", F.sum("n").over(Window.partitionBy("k", "size").orderBy("h"))).where("upto >= take")
+    found = found.groupBy("k", "size").agg(F.min_by(F.struct("h", "upto", (F.col("take") - F.col("upto") + F.col("n")).alias("take")), "h").alias("c"), F.first("take").alias("goal"))
+    found = materialize(found.select("k", "size", "c.h", (F.col("c.upto") == F.col("goal")).alias("all"), "c.take"), "hashes")
+    out = whole.union(found.where("all").select("k", "size", F.col("h").alias("cut_h"), F.lit(LAST)))
+    some = found.where("not all").select("k", "size", "h", "take")
+    if some.isEmpty():
+        return out
+    equal = materialize(keyed.select("k", "size", "h", "number", F.shiftright("number", 33).alias("task")).join(F.broadcast(some), ["k", "size", "h"]), "equal")  # one row a length
+    tasks = equal.groupBy("k", "size", "h", "task").agg(F.count("*").alias("n"), F.first("take").alias("take"))
+    tasks = tasks.withColumn("upto", F.sum("n").over(Window.partitionBy("k", "size").orderBy("task"))).where("upto >= take")
+    task = tasks.groupBy("k", "size", "h").agg(F.min_by(F.struct("task", (F.col("take") - F.col("upto") + F.col("n")).alias("nth")), "task").alias("t")).select("k", "size", "h", "t.*")
+    inside = equal.join(task, ["k", "size", "h", "task"])
+    at = inside.withColumn("at", F.row_number().over(Window.partitionBy("k", "size", "task").orderBy("number"))).where("at = nth")
+    return out.union(at.select("k", "size", F.col("h"), F.col("number")))
 
 
 def repeat_rows(docs: DataFrame, **options) -> DataFrame:
