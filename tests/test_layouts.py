@@ -198,6 +198,43 @@ def test_command(spark, tmp_path):
     assert files.read_graph(spark, str(tmp_path / "out" / "graphs"), 3).count() == 240
     assert files.read_similarities(spark, str(tmp_path / "out" / "similarities")).count() == 40
     assert {(r["frame_id"], r["count"]) for r in files.read_layouts(spark, str(tmp_path / "out" / "layouts")).groupBy("frame_id").count().collect()} == {(4, 40), (1, 40)}
-    (tmp_path / "c.json").write_text(settings.replace("[3, 3]", "[3, 2]"))
+    (tmp_path / "c.json").write_text(settings.replace("[3, 3]", "[3, 4]"))
     with pytest.raises(ValueError, match="numbers"):
         main([str(tmp_path / "c.json"), str(tmp_path / "in"), str(tmp_path / "out")])
+
+
+def test_first_dimensions(spark):
+    from weftline import config
+    from weftline.operators import frames
+
+    rows = spark.createDataFrame([(0, 1, [1.0, 2.0, 3.0], "a"), (1, 1, [4.0, 5.0], "a")], "frame_id int, item_id long, features array<double>, label string")
+    settings = config.Config(1, 1.0, 0.0, "d", (0, 1), dims=(2, 2))
+    config.check(rows, settings)  # wider files are cut, not refused
+    got = {r["frame_id"]: r["features"] for r in frames.first_dimensions(rows, dict(zip(settings.frame_ids, settings.dims))).collect()}
+    assert got == {0: [1.0, 2.0], 1: [4.0, 5.0]}
+    assert {tuple(r["features"]) for r in frames.first_dimensions(rows, {0: 1}).collect()} == {(1.0,), (4.0, 5.0)}
+    assert {tuple(r["features"]) for r in frames.first_dimensions(rows, 1).collect()} == {(1.0,), (4.0,)}
+
+
+def test_block_kernels_equal_tables(spark):
+    points = frame(spark, POINTS)
+    d2 = affinity.squared_distances(points).cache()
+    betas, fit = affinity.calibrated(d2, 4.0).cache(), affinity.fitted(points, 4.0).cache()
+    close = lambda a, b: [x for x in a if abs(a[x] - b[x]) > 1e-9] == [] and a.keys() == b.keys()
+    pairs = lambda rows, c: {(r["i"], r["j"]): r[c] for r in rows.collect()}
+    assert close({r["i"]: r["beta"] for r in betas.collect()}, {r["item_id"]: r["beta"] for r in fit.collect()})
+    cond = affinity.conditional(d2, betas)
+    assert close(pairs(cond, "p"), pairs(affinity.conditional_shares(fit), "p"))
+    assert close(pairs(affinity.joint(cond), "p"), pairs(affinity.joint_shares(fit), "p"))
+    start = descent.initial(points).cache()
+    table, q = affinity.joint(cond, 4.0), affinity.student(start)
+    forces = lambda rows: {(r["item_id"], k): r[k] for r in rows.collect() for k in ("f0", "f1")}
+    assert close(forces(descent.kl_force(table, q, start)), forces(descent.kl_forces(fit, start, 4.0)))
+    assert descent.kl_costs(fit, start).first()["kl"] == pytest.approx(descent.kl_cost(affinity.joint(cond), q).first()["kl"])
+
+
+def test_too_large_a_frame_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(descent, "MOST_BYTES", 100)
+    points = frame(spark, POINTS)
+    with pytest.raises(ValueError, match="beyond"):
+        descent.tsne(points, descent.initial(points), 4.0, 2, most=3)

@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from . import config as configuration
+from .operators.frames import first_dimensions
 from .plans import pipeline
 from .sources import text as files
 
@@ -25,6 +26,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName(f"weftline {settings.data_name}").getOrCreate()
     frames = pipeline.write_table(files.read_frames(spark, f"{given.frames}/*.txt", list(settings.frame_ids)), "frames")
     configuration.check(frames, settings)
+    frames = first_dimensions(frames, dict(zip(settings.frame_ids, settings.dims, strict=True))) if settings.dims else frames
     got = pipeline.analyse(spark, frames, settings, given.sample, given.kernel, plain_steps=given.plain_steps, joint_steps=given.joint_steps)
     files.write_graph(got.graphs, frames, f"{given.out}/graphs")
     files.write_similarities(got.similarities, f"{given.out}/similarities")

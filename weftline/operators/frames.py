@@ -77,18 +77,22 @@ def gaussian_clusters(spark: SparkSession, n: int, clusters: int, dim: int, spre
     return rows.select(F.lit(frame_id).alias("frame_id"), F.col("id").alias("item_id"), features.alias("features"), F.col("c").cast("string").alias("label"))
 
 
-def keep_split(frames: DataFrame, keep: float, seed: str) -> DataFrame:
-    """Adds ``kept``: true for the floor(keep * n) items of a frame that a seeded hash puts first.
-
-    The boundary is found by counts of hash ranges, and only its own range is ranked."""
+def lowest(rows: DataFrame, by: list[str], quotas: DataFrame, seed: str) -> DataFrame:
+    """Adds ``low``: true for as many rows of each group ``by`` as ``quotas`` (some of these columns, quota) tells, in the order of
+    a seeded hash of the item. The boundary is found by counts of hash ranges, and only a range's rows are ranked."""
     u = uniform(seed, F.col("item_id"))
-    rows = frames.withColumn("u", u).withColumn("part", F.floor(u * 1024).cast("int"))
-    counts = rows.groupBy("frame_id", "part").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("frame_id").orderBy("part")
-    counts = counts.select("frame_id", "part", "n", (F.sum("n").over(by) - F.col("n")).alias("before"), F.floor(F.sum("n").over(Window.partitionBy("frame_id")) * keep).alias("quota"))
-    rows = rows.join(counts, ["frame_id", "part"])
-    rank = F.row_number().over(Window.partitionBy("frame_id", "part").orderBy("u", "item_id"))
-    return rows.withColumn("kept", F.col("before") + rank <= F.col("quota")).select("frame_id", "item_id", "features", "label", "kept")
+    rows = rows.withColumn("u", u).withColumn("part", F.floor(u * 1024).cast("int"))
+    counts = rows.groupBy(*by, "part").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(Window.partitionBy(*by).orderBy("part")) - F.col("c")
+    counts = counts.select(*by, "part", before.alias("before")).join(quotas, [c for c in quotas.columns if c != "quota"])
+    rank = F.row_number().over(Window.partitionBy(*by, "part").orderBy("u", "item_id"))
+    return rows.join(counts, [*by, "part"]).withColumn("low", F.col("before") + rank <= F.col("quota")).drop("u", "part", "before", "quota")
+
+
+def keep_split(frames: DataFrame, keep: float, seed: str) -> DataFrame:
+    """Adds ``kept``: true for the floor(keep * n) items of a frame that a seeded hash puts first."""
+    quotas = frames.groupBy("frame_id").agg(F.floor(F.count("*") * keep).alias("quota"))
+    return lowest(frames, ["frame_id"], quotas, seed).select("frame_id", "item_id", "features", "label", F.col("low").alias("kept"))
 
 
 def disturb(frames: DataFrame, most: float, hard: bool, seed: str) -> DataFrame:
@@ -107,10 +111,9 @@ def translate(frames: DataFrame, labels: list[str], most: float, hard: bool, see
 
 def disturb_subsets(frames: DataFrame, labels: list[str], keep: float, most: float, hard: bool, seed: str) -> DataFrame:
     """Of each listed label the same number of hashed items, (1 - keep) * n / labels, moved by an offset its label shares."""
-    total = frames.groupBy("frame_id").agg(F.floor(F.count("*") * (1 - keep) / len(labels)).alias("quota"))
-    listed = frames.where(F.col("label").isin(labels)).withColumn("u", uniform(seed, F.col("item_id")))
-    rank = F.row_number().over(Window.partitionBy("frame_id", "label").orderBy("u", "item_id"))
-    chosen = listed.join(F.broadcast(total), "frame_id").withColumn("r", rank).where("r <= quota").select("frame_id", "item_id", F.lit(True).alias("hit"))
+    quotas = frames.groupBy("frame_id").agg(F.floor(F.count("*") * (1 - keep) / len(labels)).alias("quota"))
+    listed = frames.where(F.col("label").isin(labels)).select("frame_id", "item_id", "label")
+    chosen = lowest(listed, ["frame_id", "label"], quotas, seed).where("low").select("frame_id", "item_id", F.lit(True).alias("hit"))
     sign = F.when(uniform(f"{seed}:sign", F.col("label")) < 0.5, -1.0).otherwise(1.0)
     moved = F.transform("features", lambda x: x + sign * most) if hard else F.transform("features", lambda x, i: x + (uniform(f"{seed}:offset", F.col("label"), i) * 2 - 1) * most)
     return frames.join(chosen, ["frame_id", "item_id"], "left").select("frame_id", "item_id", F.when(F.col("hit"), moved).otherwise(F.col("features")).alias("features"), "label")
@@ -146,21 +149,31 @@ def scale_cluster(frames: DataFrame, labels: list[str], factor: float = 0.25, ce
 
 
 def split_cluster(frames: DataFrame, label: str, offset: float, seed: str) -> DataFrame:
-    """Two hashed halves of a cluster moved by minus and by plus the offset in every dimension; an odd item goes with the first."""
-    listed = frames.where(F.col("label") == label).withColumn("u", uniform(seed, F.col("item_id")))
-    half = listed.withColumn("h", F.ntile(2).over(Window.partitionBy("frame_id").orderBy("u", "item_id"))).select("frame_id", "item_id", "h")
-    return frames.join(half, ["frame_id", "item_id"], "left").select("frame_id", "item_id", F.when(F.col("h") == 1, _moved(F.lit(-offset))).when(F.col("h") == 2, _moved(F.lit(offset))).otherwise(F.col("features")).alias("features"), "label")
+    """Two hashed halves of a cluster moved by minus and by plus the offset in every dimension; an odd item goes with the second."""
+    listed = frames.where(F.col("label") == label).select("frame_id", "item_id")
+    quotas = listed.groupBy("frame_id").agg(F.floor(F.count("*") / 2).alias("quota"))
+    half = lowest(listed, ["frame_id"], quotas, seed)
+    moved = F.when(F.col("low"), _moved(F.lit(-offset))).when(~F.col("low"), _moved(F.lit(offset))).otherwise(F.col("features"))
+    return frames.join(half, ["frame_id", "item_id"], "left").select("frame_id", "item_id", moved.alias("features"), "label")
+
+
+def first_dimensions(frames: DataFrame, dims: int | dict[int, int]) -> DataFrame:
+    """The first numbers of every vector; ``dims`` for all frames, or for each (others stay whole)."""
+    if isinstance(dims, int):
+        return with_features(frames, F.slice("features", 1, dims))
+    table = F.create_map(*(F.lit(x) for kv in dims.items() for x in kv)) if dims else F.create_map()
+    return with_features(frames, F.slice("features", F.lit(1), F.coalesce(F.try_element_at(table, F.col("frame_id")), F.size("features")))) if dims else frames
 
 
-def projected(frames: DataFrame, dims: int) -> DataFrame:
+def projected(frames: DataFrame, dims: int, turn: bool = False) -> DataFrame:
     """The first principal components of all items together. With as many as the frame has dimensions the projection would
-    only turn the frame, which no distance notices, so the frame itself is returned."""
+    only turn the frame, which no distance notices, so the frame itself is returned unless ``turn`` is set."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     width = frames.agg(F.max(F.size("features"))).first()[0]
-    if width is None or dims >= width:
+    if width is None or dims >= width and not turn:
         return frames
     rows = frames.withColumn("v", array_to_vector("features"))
-    model = PCA(k=dims, inputCol="v", outputCol="w").fit(rows)
+    model = PCA(k=min(dims, width), inputCol="v", outputCol="w").fit(rows)
     return model.transform(rows).select("frame_id", "item_id", vector_to_array("w").alias("features"), "label")

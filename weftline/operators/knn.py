@@ -11,6 +11,8 @@ from .frames import minmax_scaled
 
 #: Items of a block; two blocks meet in one task.
 BLOCK = 4096
+#: Items of a block at least, where smaller blocks would give every core work.
+LEAST = 256
 
 
 def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
@@ -67,7 +69,8 @@ def knn_graph(frames: DataFrame, k: int, scaled: bool = True, block: int = BLOCK
     their id, and each pair of blocks is one task of at most block squared distances, so memory follows the block, not the
     frame. Every task passes k neighbours of an item on, and the last step ranks these."""
     rows = (minmax_scaled(frames) if scaled else frames).select("frame_id", "item_id", "features")
-    sizes = rows.groupBy("frame_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    lots = max(1, round(rows.sparkSession.sparkContext.defaultParallelism ** 0.5))  # pairs of blocks then are as many as cores
+    sizes = rows.groupBy("frame_id").agg(F.greatest(F.ceil(F.count("*") / block), F.least(F.lit(lots), F.ceil(F.count("*") / LEAST))).cast("int").alias("blocks"))
     rows = rows.join(F.broadcast(sizes), "frame_id").withColumn("own", F.pmod(F.xxhash64("item_id"), "blocks").cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     asks = rows.select("frame_id", "item_id", "features", F.lit(True).alias("asks"), F.col("own").alias("a"), every.alias("b"))

@@ -4,6 +4,7 @@ Frame 0 is the table; frame 1 contracts labels 0 to 2 about their centroids and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as vec
 from ..operators import affinity, descent, frames as fr, graph, graphlets, knn, matching, quality
 from ..sources import text as files
-from .storage import shared_dir, write_table
+from .storage import keep_path, shared_dir, write_table
 
 K, PERPLEXITY, GAMMA, LEVELS = 3, 30.0, 0.1, 2
 MOVED, FACTOR, SHIFTED, SHIFT = ["0", "1", "2"], 0.3, ["3"], 0.1
@@ -86,9 +87,8 @@ def _distances(spark: SparkSession, d: str) -> DataFrame:
     return affinity.squared_distances(frame0(spark, d))
 
 
-def _conditional(spark: SparkSession, d: str) -> DataFrame:
-    d2 = write_table(_distances(spark, d), "distances")
-    return affinity.conditional(d2, affinity.calibrated(d2, PERPLEXITY))
+def _fit(spark: SparkSession, d: str) -> DataFrame:
+    return write_table(affinity.fitted(frame0(spark, d), PERPLEXITY), "fit")
 
 
 def _start(spark: SparkSession, d: str, seed: str = "layout") -> DataFrame:
@@ -97,7 +97,7 @@ def _start(spark: SparkSession, d: str, seed: str = "layout") -> DataFrame:
 
 def _force(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     start = write_table(_start(spark, d), "start")
-    return start, descent.kl_force(affinity.joint(_conditional(spark, d), affinity.EXAGGERATION), affinity.student(start), start)
+    return start, descent.kl_forces(_fit(spark, d), start, affinity.EXAGGERATION)
 
 
 def _unit_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -183,13 +183,49 @@ def sampled(spark: SparkSession, d: str) -> DataFrame:
     return graphlets.sampled_counts(edges(spark, d), seed=1)
 
 
+def _folder(spark: SparkSession, tag: str) -> str:
+    return keep_path(spark, f"{shared_dir(spark)}/weftline-{tag}-{uuid.uuid4().hex}")
+
+
 def graph_file(spark: SparkSession, d: str) -> DataFrame:
-    frames, near = both(spark, d), links(spark, d)
-    path = f"{shared_dir(spark)}/weftline-graph-text-{abs(hash(d)) % 10**9}"
-    files.write_graph(near, frames, path)
+    path = _folder(spark, "graph-text")
+    files.write_graph(links(spark, d), both(spark, d), path)
     return files.read_graph(spark, path, K).select("frame_id", "src", "dst", "rank", r("dist").alias("dist"))
 
 
+def frame_files(spark: SparkSession, d: str) -> DataFrame:
+    """Written by frame and read again; a line's number is its item, as ids in the table have no gaps."""
+    path = _folder(spark, "frame-text")
+    files.write_frames(both(spark, d), path)
+    back = files.read_written_frames(spark, path)
+    return back.select("frame_id", "item_id", "label", F.posexplode("features").alias("pos", "x")).select("frame_id", "item_id", "label", "pos", r("x").alias("x"))
+
+
+def similarity_files(spark: SparkSession, d: str) -> DataFrame:
+    frames, _, features = _features(spark, d)
+    path = _folder(spark, "similarity-text")
+    files.write_similarities(matching.point_similarity(pair(spark), features, frames, "cosine"), path)
+    return files.read_similarities(spark, path).select("frame_a", "frame_b", "item_id", r("sim").alias("sim"))
+
+
+def layout_files(spark: SparkSession, d: str) -> DataFrame:
+    frame = frame0(spark, d)
+    path = _folder(spark, "layout-text")
+    files.write_layouts(descent.initial(frame, "layout").join(frame.select("item_id", "label"), "item_id"), path)
+    return files.read_layouts(spark, path).select("frame_id", "item_id", "label", r("y0").alias("y0"), r("y1").alias("y1"))
+
+
+def within_size(spark: SparkSession, d: str) -> DataFrame:
+    typed = graphlet_counts(spark, d).select("frame_id", F.size("nodes").cast("long").alias("size"), graphlets.type_within_size(F.col("gtype")).alias("gtype"))
+    return typed.groupBy("frame_id", "size", "gtype").agg(F.count("*").alias("n"))
+
+
+def pca_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    """The variance along all principal components together, which is that of the frame."""
+    along = fr.projected(frame0(spark, d), 64, turn=True).select(F.posexplode("features").alias("pos", "x"))
+    return along.groupBy("pos").agg(F.var_samp("x").alias("v")).agg(r(F.sum("v")).alias("variance"))
+
+
 def preserved(spark: SparkSession, d: str) -> DataFrame:
     near = links(spark, d).where("frame_id = 0")
     return quality.neighborhood_preservation(near, _start(spark, d), K).select("frame_id", r("preserved").alias("preserved"))
@@ -223,6 +259,12 @@ Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "l1_normalised": l1_shares,
     "knn_graph": knn_query,
     "graph_text_roundtrip": graph_file,
+    "frames_text_roundtrip": frame_files,
+    "similarities_text_roundtrip": similarity_files,
+    "layouts_text_roundtrip": layout_files,
+    "first_dimensions": lambda s, d: cells(fr.first_dimensions(frame0(s, d), 10)),
+    "pca_spectrum": pca_spectrum,
+    "graphlet_types_within_size": within_size,
     "undirected_edges": lambda s, d: edges(s, d).select("frame_id", "u", "v"),
     "degrees": lambda s, d: graph.degrees(edges(s, d)),
     "edge_num_1": lambda s, d: graph.edge_count(edges(s, d), 1),
@@ -239,25 +281,26 @@ Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "point_similarity_cos": similarity("cosine"),
     "point_similarity_rbf": similarity("rbf"),
     "point_similarity_laplacian": similarity("laplacian"),
-    "aligned_items": lambda s, d: matching.aligned_items(pair(s), both(s, d).where("frame_id = 0 or item_id % 7 <> 0")).select("item_id", "in_a", "in_b"),
+    "aligned_items": lambda s, d: matching.aligned_items(pair(s), both(s, d)).select("item_id", "in_a", "in_b"),
     "common_edges": lambda s, d: matching.common_edges(pair(s), graph.directed(links(s, d))).select("src", "dst"),
     "neighbor_ratio": lambda s, d: matching.neighbor_ratio(pair(s), graph.directed(links(s, d)), both(s, d), K).select("item_id", r("ratio").alias("ratio")),
     "discounted_similarity": lambda s, d: _discounted(s, d)[1].select("item_id", r("sim").alias("sim")),
     "match_edges": lambda s, d: _weights(s, d).select("src", "dst", r("weight").alias("weight")),
     "match_edges_norm": lambda s, d: matching.normalised_weights(_weights(s, d)).select("src", "dst", r("weight").alias("weight")),
     "pairwise_sqdist": lambda s, d: _distances(s, d).select("i", "j", r("d2").alias("d2")),
-    "perplexity_beta": lambda s, d: affinity.calibrated(_distances(s, d), PERPLEXITY).select("i", r("beta").alias("beta")),
+    "perplexity_beta": lambda s, d: affinity.betas(frame0(s, d), PERPLEXITY).select("i", r("beta").alias("beta")),
+    "perplexity_beta_matrix": lambda s, d: affinity.calibrated(_distances(s, d), PERPLEXITY).select("i", r("beta").alias("beta")),
     "perplexity_beta_folds": lambda s, d: affinity.calibrated_by_folds(_distances(s, d), PERPLEXITY).select("i", r("beta").alias("beta")),
-    "mean_sigma": lambda s, d: affinity.mean_sigma(affinity.calibrated(_distances(s, d), PERPLEXITY)).select("frame_id", r("sigma").alias("sigma")),
-    "conditional_p": lambda s, d: _conditional(s, d).select("i", "j", r("p", 9).alias("p")),
-    "joint_p": lambda s, d: affinity.joint(_conditional(s, d)).select("i", "j", r("p", 11).alias("p")),
+    "mean_sigma": lambda s, d: affinity.mean_sigma(affinity.betas(frame0(s, d), PERPLEXITY)).select("frame_id", r("sigma").alias("sigma")),
+    "conditional_p": lambda s, d: affinity.conditional_shares(_fit(s, d)).select("i", "j", r("p", 9).alias("p")),
+    "joint_p": lambda s, d: affinity.joint_shares(_fit(s, d)).select("i", "j", r("p", 11).alias("p")),
     "init_layout": lambda s, d: _start(s, d).select("item_id", r("y0").alias("y0"), r("y1").alias("y1")),
     "centred_layout": lambda s, d: descent.centred(_start(s, d)).select("item_id", r("y0").alias("y0"), r("y1").alias("y1")),
     "student_q": lambda s, d: affinity.student(_start(s, d)).select("i", "j", r("num").alias("num"), r("q", 11).alias("q")),
     "kl_force": lambda s, d: _force(s, d)[1].select("item_id", r("f0", 9).alias("f0"), r("f1", 9).alias("f1")),
     "edge_force": lambda s, d: descent.edge_force(_unit_edges(s, d), _start(s, d, "before"), _start(s, d), GAMMA).select("item_id", r("f0", 9).alias("f0"), r("f1", 9).alias("f1")),
     "one_step_layout": lambda s, d: descent.first_step(*_force(s, d)).select("item_id", r("y0").alias("y0"), r("y1").alias("y1")),
-    "kl_cost": lambda s, d: descent.kl_cost(affinity.joint(_conditional(s, d)), affinity.student(_start(s, d))).select("frame_id", r("kl").alias("kl")),
+    "kl_cost": lambda s, d: descent.kl_costs(_fit(s, d), _start(s, d)).select("frame_id", r("kl").alias("kl")),
     "edge_cost": lambda s, d: descent.edge_cost(_unit_edges(s, d), _start(s, d, "before"), _start(s, d)).select("frame_id", r("c1").alias("c1")),
     "neighborhood_preservation": preserved,
     "pca_distances": pca_distances,

@@ -177,7 +177,7 @@ ORACLES = {
         _each("x"),
     ),
     "scale_cluster": _q(C0 + ", a AS (SELECT item_id, CASE WHEN label = '4' THEN list_transform(x, lambda v, i: 0.5::DOUBLE + (v - c[i]) * 0.25::DOUBLE) ELSE x END AS x FROM f0 LEFT JOIN cent USING (label))", _each("x")),
-    "split_cluster": _q(F0 + f", half AS (SELECT item_id, ntile(2) OVER (ORDER BY {_u(repr('split'), 'item_id')}, item_id) AS h FROM f0 WHERE label = '6'), a AS (SELECT item_id, CASE h WHEN 1 THEN list_transform(x, lambda v: v - 0.3::DOUBLE) WHEN 2 THEN list_transform(x, lambda v: v + 0.3::DOUBLE) ELSE x END AS x FROM f0 LEFT JOIN half USING (item_id))", _each("x")),
+    "split_cluster": _q(F0 + f", half AS (SELECT item_id, (CASE WHEN row_number() OVER (ORDER BY {_u(repr('split'), 'item_id')}, item_id) <= count(*) OVER () // 2 THEN 1 ELSE 2 END) AS h FROM f0 WHERE label = '6'), a AS (SELECT item_id, CASE h WHEN 1 THEN list_transform(x, lambda v: v - 0.3::DOUBLE) WHEN 2 THEN list_transform(x, lambda v: v + 0.3::DOUBLE) ELSE x END AS x FROM f0 LEFT JOIN half USING (item_id))", _each("x")),
     "kernels": _q(
         F0,
         f"SELECT a.item_id, {r('list_cosine_similarity(a.x, b.x)')} AS cosine, {r('exp(-list_sum(list_transform(a.x, lambda v, i: (v - b.x[i]) * (v - b.x[i]))) / 2)')} AS rbf, {r('exp(-list_sum(list_transform(a.x, lambda v, i: abs(v - b.x[i]))))')} AS laplacian, {r('list_sum(list_transform(a.x, lambda v, i: abs(v - b.x[i])))')} AS l1, {r('list_sum(list_transform(a.x, lambda v, i: (v - b.x[i]) * (v - b.x[i])))')} AS l2 FROM f0 a JOIN f0 b ON b.item_id = a.item_id + 1",
@@ -186,6 +186,15 @@ ORACLES = {
     "l1_normalised": _q(F0 + ", a AS (SELECT item_id, list_transform(x, lambda v: abs(v) / list_sum(list_transform(x, lambda u: abs(u)))) AS x FROM f0)", _each("x")),
     "knn_graph": _q(KNN, _knn),
     "graph_text_roundtrip": _q(KNN, _knn),
+    "frames_text_roundtrip": _q(F01, f"SELECT frame_id, item_id - first AS item_id, label, pos - 1 AS pos, {r('x[pos]')} AS x FROM (SELECT *, min(item_id) OVER () AS first FROM fs), generate_series(1, len(x)) AS g(pos)"),
+    "similarities_text_roundtrip": _q(SIMS, f"SELECT 0 AS frame_a, 1 AS frame_b, item_id, {r('cosine')} AS sim FROM sim"),
+    "layouts_text_roundtrip": _q(F0 + ", " + _layout("y", "layout"), f"SELECT 0 AS frame_id, item_id - min(item_id) OVER () AS item_id, label, {r('y0')} AS y0, {r('y1')} AS y1 FROM y JOIN f0 USING (item_id)"),
+    "first_dimensions": _q(F0 + ", a AS (SELECT item_id, x[1:10] AS x FROM f0)", _each("x")),
+    "pca_spectrum": _q(
+        F0 + ", c AS (SELECT pos, avg(x[pos]) AS m FROM f0, generate_series(1, len(x)) AS g(pos) GROUP BY pos)",
+        f"SELECT {r('sum(v)')} AS variance FROM (SELECT pos, var_samp(x[pos]) AS v FROM f0, generate_series(1, len(x)) AS g(pos) GROUP BY pos)",
+    ),
+    "graphlet_types_within_size": _q(GRAPHLETS, "SELECT frame_id, len(nodes) AS size, CASE len(nodes) WHEN 3 THEN gtype WHEN 4 THEN gtype - 2 ELSE gtype - 8 END AS gtype, count(*) AS n FROM typed GROUP BY ALL"),
     "undirected_edges": _q(EDGES, "SELECT frame_id, u, v FROM ed"),
     "degrees": _q(EDGES, "SELECT frame_id, u AS item_id, count(*) AS degree FROM sym GROUP BY ALL"),
     "edge_num_1": _q(EDGES, "SELECT frame_id, count(*) AS n FROM ed GROUP BY frame_id"),
@@ -205,7 +214,7 @@ ORACLES = {
     "point_similarity_cos": _q(SIMS, f"SELECT item_id, {r('cosine')} AS sim FROM sim"),
     "point_similarity_rbf": _q(SIMS, f"SELECT item_id, {r('rbf')} AS sim FROM sim"),
     "point_similarity_laplacian": _q(SIMS, f"SELECT item_id, {r('laplacian')} AS sim FROM sim"),
-    "aligned_items": _q(F0, "SELECT item_id, true AS in_a, item_id % 7 <> 0 AS in_b FROM f0"),
+    "aligned_items": _q(F0, "SELECT item_id, true AS in_a, true AS in_b FROM f0"),
     "common_edges": _q(KNN + COMMON, "SELECT src, dst FROM common"),
     "neighbor_ratio": _q(KNN + COMMON, f"SELECT item_id, {r('ratio::DOUBLE')} AS ratio FROM ratio"),
     "discounted_similarity": _q(WEIGHTS, f"SELECT item_id, {r('sim')} AS sim FROM disc"),

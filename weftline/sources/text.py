@@ -51,6 +51,13 @@ def write_frames(frames: DataFrame, path: str) -> None:
     _written(frames.select("frame_id", F.col("item_id").alias("at"), F.concat_ws("\t", numbers, "label").alias("value")), path)
 
 
+def read_written_frames(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_frames` wrote; items are numbered by line."""
+    rows = _partitioned(spark, path, ["frame_id"])
+    values = F.transform(F.slice("tokens", F.lit(1), F.size("tokens") - 1), lambda t: t.cast("double"))
+    return rows.select("frame_id", F.col("line").alias("item_id"), values.alias("features"), F.element_at("tokens", -1).alias("label"))
+
+
 def write_layouts(layout: DataFrame, path: str) -> None:
     """Lines of y0, y1 with 16 decimals, and the label."""
     line = F.concat_ws("\t", F.format_string("%.16f", "y0"), F.format_string("%.16f", "y1"), "label")
