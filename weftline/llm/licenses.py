@@ -7,12 +7,14 @@ intervals the rule of higher priority stays."""
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts
-from .secrets import folded, places
+from .secrets import folded, once, places
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -100,6 +102,53 @@ NOTICES = [
     ("gpl", "gnu", "www gnu org licenses gpl", 0.8),
     ("mpl-2.0", "mozilla", "mozilla org mpl 2 0", 0.95),
     ("no-license", "license", "no license (?:is )?granted", 0.7),
+    ("apache-2.0", "apache", "licensed under the apache license version 2 0 (?:the license )?you may not use this file except in compliance with the license", 0.98),
+    ("apache-2.0", "apache", "you may obtain a copy of the license at https? www apache org licenses license 2 0", 0.98),
+    ("gpl-2.0-or-later", "foundation", "gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", 0.98),
+    ("gpl-3.0-or-later", "foundation", "gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", 0.98),
+    ("lgpl-2.1-or-later", "foundation", "gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", 0.98),
+    ("lgpl-3.0-or-later", "foundation", "gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version", 0.98),
+    ("agpl-3.0-or-later", "foundation", "gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", 0.98),
+    ("gpl-2.0-only", "foundation", "gnu general public license version 2 as published by the free software foundation", 0.95),
+    ("gpl-3.0-only", "foundation", "gnu general public license version 3 as published by the free software foundation", 0.95),
+    ("gpl", "merchantability", "without even the implied warranty of merchantability or fitness for a particular purpose", 0.6),
+    ("gpl", "gnu", "you should have received a copy of the gnu general public license", 0.85),
+    ("lgpl", "gnu", "you should have received a copy of the gnu lesser general public license", 0.85),
+    ("agpl", "gnu", "you should have received a copy of the gnu affero general public license", 0.85),
+    ("classpath-exception", "exception", "(?:with the )?classpath exception(?: 2 0)?", 0.9),
+    ("classpath-exception", "exception", "as a special exception the copyright holders? of this library give you permission to link this library with independent modules", 0.95),
+    ("gcc-exception", "exception", "gcc runtime library exception", 0.9),
+    ("llvm-exception", "exception", "(?:with )?llvm exceptions?", 0.9),
+    ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0", 0.98),
+    ("mit", "substantial", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 0.95),
+    ("mit", "sublicense", "to use copy modify merge publish distribute sublicense and or sell copies of the software", 0.95),
+    ("mit", "noninfringement", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", 0.9),
+    ("bsd-3-clause", "endorse", "neither the name of (?:[a-z0-9]+ ){1,8}nor the names of (?:its|any) contributors may be used to endorse or promote products derived from this software", 0.97),
+    ("bsd-2-clause", "redistributions", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", 0.8),
+    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 0.8),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledgement", 0.97),
+    ("isc", "disclaims", "the software is provided as is and the author disclaims all warranties with regard to this software", 0.9),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented", 0.95),
+    ("zlib", "plainly", "altered source versions must be plainly marked as such", 0.9),
+    ("bsl-1.0", "boost", "distributed under the boost software license version 1 0", 0.98),
+    ("bsl-1.0", "boost", "www boost org license 1 0 txt", 0.95),
+    ("epl-2.0", "eclipse", "www eclipse org legal epl 2 0", 0.95),
+    ("epl-1.0", "eclipse", "www eclipse org legal epl v10", 0.95),
+    ("cc0-1.0", "creativecommons", "creativecommons org publicdomain zero 1 0", 0.95),
+    ("cc-by-4.0", "creativecommons", "creativecommons org licenses by 4 0", 0.95),
+    ("cc-by-sa-4.0", "creativecommons", "creativecommons org licenses by sa 4 0", 0.95),
+    ("cc-by-nc-4.0", "creativecommons", "creativecommons org licenses by nc 4 0", 0.95),
+    ("cc-by-nc-sa-4.0", "creativecommons", "creativecommons org licenses by nc sa 4 0", 0.95),
+    ("cc-by-nd-4.0", "creativecommons", "creativecommons org licenses by nd 4 0", 0.95),
+    ("cc-by-nc-nd-4.0", "creativecommons", "creativecommons org licenses by nc nd 4 0", 0.95),
+    ("unlicense", "unlicense", "unlicense org", 0.95),
+    ("mit", "opensource", "opensource org licenses mit", 0.95),
+    ("bsd-3-clause", "opensource", "opensource org licenses bsd 3 clause", 0.95),
+    ("bsd-2-clause", "opensource", "opensource org licenses bsd 2 clause", 0.95),
+    ("proprietary", "unauthorized", "unauthorized (?:copying|use|reproduction|distribution) of this (?:file|software|document)", 0.8),
+    ("proprietary", "confidential", "confidential and proprietary(?: information)?", 0.8),
+    ("non-commercial", "commercial", "(?:for )?non commercial (?:use|purposes) only", 0.7),
+    ("research-only", "research", "for (?:academic |non commercial )?research (?:use|purposes) only", 0.7),
 ]
 GRANT = "(?:(?:is )?(?:licensed|released|distributed|published|available|provided) under (?:the )?(?:terms of (?:the )?)?)"
 
@@ -109,21 +158,30 @@ def _version(v: str) -> str:
     return f"(?:version |v)?{major}(?: {minor})?" if minor == "0" else f"(?:version |v)?{major} {minor}"
 
 
-def rules() -> list[tuple[str, float, str, str]]:
-    """(label, confidence, keyword, expression) by priority: identifiers, granted and plain names with a version, names without."""
+#: Families whose licences say whether later versions hold too.
+LATER = ("agpl", "lgpl", "gpl", "gfdl")
+
+
+def rules() -> list[tuple[str, float, str, str, str]]:
+    """(label, confidence, keyword, expression, name) by priority: identifiers, granted and plain names with a version, names
+    without, notices. The name stands in whatever the expression finds."""
     out = []
-    labels = dict.fromkeys(f"{label}-{v}" if v else label for label, _, _, versions in FAMILIES for v in (versions.split() or [""]))
-    for label in labels:
+    labels = dict.fromkeys((label, f"{label}-{v}" if v else label) for label, _, _, versions in FAMILIES for v in (versions.split() or [""]))
+    for family, label in labels:
         ident = re.sub(r"[^a-z0-9]+", " ", label)
-        out.append((label, 1.0, "spdx", f"spdx license identifier {ident}(?: only| or later)?"))
+        for more, words in (("-or-later", " or later"), ("-only", " only"), ("", "")) if family in LATER else (("", ""),):
+            out.append((label + more, 1.0, "spdx", f"spdx license identifier {ident}{words}", "spdx license identifier"))
     for granted, confidence in ((GRANT, 0.95), ("", 0.85)):
         for label, keyword, name, versions in FAMILIES:
             for v in versions.split():
-                out.append((f"{label}-{v}", confidence, keyword, f"{granted}(?:{name}) {_version(v)}"))
+                out.append((f"{label}-{v}", confidence, keyword, f"{granted}(?:{name}) {_version(v)}", name))
+                if label in LATER:
+                    out.append((f"{label}-{v}-or-later", confidence, keyword, f"{granted}(?:{name}) {_version(v)} or (?:at your option )?(?:any )?(?:later|newer)(?: version)?", name))
+                    out.append((f"{label}-{v}-only", confidence, keyword, f"{granted}(?:{name}) {_version(v)} only", name))
     for granted, confidence in ((GRANT, 0.8), ("", 0.6)):
         for label, keyword, name, _ in FAMILIES:
-            out.append((label, confidence, keyword, f"{granted}(?:{name})"))
-    return out + [(label, confidence, keyword, text) for label, keyword, text, confidence in NOTICES]
+            out.append((label, confidence, keyword, f"{granted}(?:{name})", name))
+    return out + [(label, confidence, keyword, text, text) for label, keyword, text, confidence in NOTICES]
 
 
 def spaced(expression: str) -> str:
@@ -131,7 +189,11 @@ def spaced(expression: str) -> str:
     return " " + expression.replace(" ", "  ") + " "
 
 
-RULES = [(label, confidence, f" {keyword} ", " (?:" + spaced(expression)[1:-1] + ") ") for label, confidence, keyword, expression in rules()]
+def _whole(expression: str) -> str:
+    return " (?:" + spaced(expression)[1:-1] + ") "
+
+
+RULES = [(label, confidence, f" {keyword} ", _whole(expression)) for label, confidence, keyword, expression, _ in rules()]
 
 
 #: Keywords besides a family's own, of alternatives that don't hold it. The SQL has the family's keyword only.
@@ -140,6 +202,11 @@ OTHER = {"(?:cc|creative commons) by": "commons", "freebsd license": "freebsd",
 KEYWORDS = [[k, *(f" {other} " for part, other in OTHER.items() if spaced(part)[1:-1] in e)] for _, _, k, e in RULES]
 
 
+#: The names, which stand as literals in the plan; GROUP is each rule's.
+NAMES = list(dict.fromkeys(_whole(name) for *_, name in rules()))
+GROUP = [NAMES.index(_whole(name)) for *_, name in rules()]
+
+
 def trie(words: list[str]) -> str:
     """An expression of the given words that shares their beginnings, so few alternatives are tried at any place."""
     heads: dict[str, list[str]] = {}
@@ -179,15 +246,19 @@ def scan(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     base_of = lambda phrase, label: F.transform(F.when(p.contains(spaced(phrase)), places(p, spaced(phrase), measure=_words)).otherwise(none), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(label).alias("label")))
     base = F.concat(*(base_of(k, v) for k, v in PHRASES.items()))
-    table = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(c).alias("confidence"), F.array(*map(F.lit, KEYWORDS[i])).alias("keywords"), F.lit(e).alias("expression")) for i, (label, c, _, e) in enumerate(RULES)))
+    table = F.array(*(F.struct(F.lit(i).alias("rule"), F.lit(label).alias("label"), F.lit(c).alias("confidence"), F.lit(GROUP[i]).alias("group"), F.lit(e).alias("expression")) for i, (label, c, _, e) in enumerate(RULES)))
 
     def tried(r: Column) -> Column:
         named = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), r["rule"].alias("rule"), r["label"].alias("label"), r["confidence"].alias("confidence"))
         return F.transform(places(p, r["expression"], measure=_words), named)
 
-    able = F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(p, k)) & F.rlike(p, r["expression"]))
+    # keywords first, then the name, whose expression is compiled once; rules are tried only where their name stands
+    named_by = {g: dict.fromkeys(k for i, at in enumerate(GROUP) if at == g for k in KEYWORDS[i]) for g in range(len(NAMES))}
+    held = lambda g: reduce(or_, (p.contains(k) for k in named_by[g])) & p.rlike(NAMES[g])
+    groups = F.filter(F.array(*(F.when(held(g), F.lit(g)) for g in range(len(NAMES)))), lambda g: g.isNotNull())
+    able = lambda found: F.filter(table, lambda r: F.array_contains(found, r["group"]) & F.rlike(p, r["expression"]))
     nothing = F.array().cast("array<struct<start:int,end:int,rule:int,label:string,confidence:double>>")
-    raw = F.when(F.rlike(p, F.lit(ANY)), F.flatten(F.transform(able, tried))).otherwise(nothing)
+    raw = F.when(p.rlike(ANY), once(groups, lambda found: F.when(F.size(found) > 0, F.flatten(F.transform(able(found), tried))).otherwise(nothing))).otherwise(nothing)
     ranked = F.array_sort(F.transform(raw, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), d["rule"].alias("rule"), d["label"].alias("label"), d["confidence"].alias("confidence"))))
 
     def sweep(reach: Column, d: Column) -> tuple[Column, Column]:
