@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import materialize, tune
 
 K, SCALE, EVERY, BLOCK = 10, 1024, 100, 16
 #: Bytes of query vectors that one broadcast may hold; more queries go in several blocks.
@@ -105,7 +105,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, budget: int = B
     """query_id, rank (from 1), vec_id, score: for each query the k candidates of greatest inner product, ties to the
     smaller vec_id; candidates with the query's own id don't count. Both tables are (vec_id, v array<bigint>).
 
-    Queries are broadcast in blocks of at most ``budget`` bytes, each against all candidates; a candidate is never moved. Vectors
+    Queries go through the driver in blocks of at most ``budget`` bytes, one after the other, each against all candidates, which
+    are never moved. Vectors
     of different lengths are filled up with zeros; of rows that repeat a query's id the smallest vector asks; repeated
     candidates each count; scores beyond a long are held to its range. Without queries or candidates there are no rows."""
     spark = candidates.sparkSession
@@ -113,19 +114,23 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, budget: int = B
     asks = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     n, width = asks.agg(F.count("*"), F.max(F.size("v"))).first()
     blocks = max(1, -(-n * max(width or 1, 1) * 8 // budget))
-    parts = []
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    out = None
     for b in range(blocks):
         rows = asks.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect() if n else []
         q = np.zeros((len(rows), max(width or 1, 1)), np.int64)
         for i, r in enumerate(rows):
             q[i, : len(r["v"])] = r["v"]
         held = spark.sparkContext.broadcast(q), spark.sparkContext.broadcast(np.array([r["vec_id"] for r in rows], np.int64))
-        parts.append(candidates.select("vec_id", "v").mapInArrow(_search(held[1], held[0], k), "query_id long, vec_id long, score long"))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.union(p)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        del rows, q
+        found = candidates.select("vec_id", "v").mapInArrow(_search(held[1], held[0], k), "query_id long, vec_id long, score long")
+        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if blocks > 1:  # one block is held at a time, here and in the executors
+            found = materialize(found, "ranked")
+            for x in held:
+                x.destroy()
+        out = found if out is None else out.union(found)
+    return out
 
 
 def op7_exact_topk(spark, sf_dir: str) -> DataFrame:
