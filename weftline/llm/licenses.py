@@ -196,7 +196,7 @@ def _whole(expression: str) -> str:
 RULES = [(label, confidence, f" {keyword} ", _whole(expression)) for label, confidence, keyword, expression, _ in rules()]
 
 
-#: Keywords besides a family's own, of alternatives that don't hold it. The SQL has the family's keyword only.
+#: Keywords besides a family's own, of alternatives that don't hold it.
 OTHER = {"(?:cc|creative commons) by": "commons", "freebsd license": "freebsd", "expat license": "expat"}
 #: For each rule the words of which one stands in whatever its expression finds.
 KEYWORDS = [[k, *(f" {other} " for part, other in OTHER.items() if spaced(part)[1:-1] in e)] for _, _, k, e in RULES]
@@ -218,8 +218,7 @@ def trie(words: list[str]) -> str:
     return body + ("?" if end and parts else "")
 
 
-GATE = f" {trie(list(dict.fromkeys([*(k.strip() for _, _, k, _ in RULES), 'license'])))} "
-#: The same with the other keywords, for the scan.
+#: What a text without any keyword lacks.
 ANY = f" {trie(list(dict.fromkeys([*(k.strip() for ks in KEYWORDS for k in ks), 'license'])))} "
 
 
@@ -299,11 +298,11 @@ def _sql() -> str:
             FROM (SELECT *, regexp_extract_all(t, {pattern}) AS ms, string_split_regex(t, {pattern}) AS ps FROM {source}), generate_series(1, len(ms)) AS g(k)"""
 
     base = " UNION ALL ".join(spans(f"(SELECT *, {q(v)} AS label FROM d)", q(spaced(k)), "label") for k, v in PHRASES.items())
-    values = ", ".join(f"({i}, {q(label)}, {c}::DOUBLE, {q(k)}, {q(e)})" for i, (label, c, k, e) in enumerate(RULES))
+    values = ", ".join(f"({i}, {q(label)}, {c}::DOUBLE, [{', '.join(map(q, KEYWORDS[i]))}], {q(e)})" for i, (label, c, _, e) in enumerate(RULES))
     return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_replace('.' || translate(coalesce(text, ''), {q(UPPER)}, {q(LOWER)}) || '.', {q(BREAKS)}, '  ', 'g') AS t FROM documents),
-    rules(rule, label, confidence, keyword, expression) AS (VALUES {values}),
+    rules(rule, label, confidence, keywords, expression) AS (VALUES {values}),
     base AS ({base}),
-    tried AS (SELECT rid, t, rule, label, confidence, expression FROM (SELECT * FROM d WHERE regexp_matches(t, {q(GATE)})) JOIN rules ON contains(t, keyword)),
+    tried AS (SELECT rid, t, rule, label, confidence, expression FROM (SELECT * FROM d WHERE regexp_matches(t, {q(ANY)})) JOIN rules ON len(list_filter(keywords, lambda k: contains(t, k))) > 0),
     raw AS ({spans("tried", "expression", "rule, label, confidence")}),
     swept AS (SELECT *, max(s + n) OVER (PARTITION BY rid ORDER BY s, s + n DESC, rule ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM raw),
     kept AS (SELECT * FROM swept WHERE s + n > coalesce(reach, 0)),
