@@ -153,3 +153,39 @@ def test_equal_weights_stay_and_no_match_gives_no_edges(spark):
 def test_types_within_a_size(spark):
     got = [r[0] for r in spark.range(29).orderBy("id").select(graphlets.type_within_size(F.col("id"))).collect()]
     assert got == [0, 1, *range(6), *range(21)]
+
+
+def test_types_of_grown_and_of_given_sets_agree(spark):
+    rng = np.random.default_rng(5)
+    pairs = {tuple(sorted(p)) for p in rng.integers(0, 14, (26, 2)).tolist() if p[0] != p[1]}
+    e = edges(spark, pairs)
+    grown = graphlets.typed_connected_sets(e).cache()
+    got = {tuple(r["nodes"]): r["gtype"] for r in grown.collect()}
+    assert grown.count() == len(got)
+    assert got == {tuple(r["nodes"]): r["gtype"] for r in graphlets.typed_sets(grown.select("frame_id", "nodes"), e).collect()}
+    near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(14)}
+    assert set(got) == {c for k in (3, 4, 5) for c in itertools.combinations(range(14), k) if graphlets._joined(frozenset(c), near)}
+
+
+def test_halves_of_an_odd_cluster(spark):
+    rows = fr.split_cluster(frame(spark, [(0.0,)] * 9, ["a"] * 7 + ["b"] * 2), "a", 1.0, "s").collect()
+    moved = [r["features"][0] for r in rows if r["label"] == "a"]
+    assert (moved.count(-1.0), moved.count(1.0)) == (3, 4)
+    assert [r["features"] for r in rows if r["label"] == "b"] == [[0.0]] * 2
+
+
+def test_lsh_graph_finds_most_neighbours(spark):
+    rng = np.random.default_rng(1)
+    points = np.concatenate([rng.normal(size=(40, 3)) * 0.1 + c for c in ((0, 0, 0), (3, 0, 0), (0, 3, 0))])
+    pairs = lambda rows: {(r["src"], r["dst"]) for r in rows.collect()}
+    exact, found = pairs(knn.knn_graph(frame(spark, points), 3)), pairs(knn.knn_graph_lsh(frame(spark, points), 3))
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_coherence_error(spark):
+    from weftline.operators import quality
+
+    at = lambda f, ys: spark.createDataFrame([(f, i, float(a), float(b)) for i, (a, b) in enumerate(ys)], "frame_id int, item_id long, y0 double, y1 double")
+    matches = spark.createDataFrame([(0, 1, 0, 1, 1.0), (0, 1, 1, 2, 3.0)], "frame_a int, frame_b int, src long, dst long, weight double")
+    got = quality.coherence_error(matches, at(0, [(0, 0), (1, 0), (1, 1)]), at(1, [(0, 0), (1, 0), (1, 3)])).first()
+    assert (got["frame_a"], got["frame_b"], got["error"]) == (0, 1, pytest.approx((1 * 0 + 3 * 2) / 4))

@@ -238,3 +238,26 @@ def test_too_large_a_frame_is_refused(spark, monkeypatch):
     points = frame(spark, POINTS)
     with pytest.raises(ValueError, match="beyond"):
         descent.tsne(points, descent.initial(points), 4.0, 2, most=3)
+
+
+def test_frames_and_info_are_written(spark, tmp_path):
+    import json
+
+    points = frame(spark, POINTS).union(frame(spark, POINTS[::-1], 3))
+    files.write_frames(points, str(tmp_path / "frames"))
+    back = {(r["frame_id"], r["item_id"]): (r["features"], r["label"]) for r in files.read_written_frames(spark, str(tmp_path / "frames")).collect()}
+    assert back == {(r["frame_id"], r["item_id"]): (pytest.approx(r["features"], abs=1e-15), r["label"]) for r in points.collect()}
+    files.write_info({"a": [1, 2]}, str(tmp_path / "info.json"))
+    assert json.loads((tmp_path / "info.json").read_text()) == {"a": [1, 2]}
+
+
+def test_principal_components(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 4)) * (4, 2, 1, 0.1)
+    got = {r["item_id"]: r["features"] for r in fr.projected(frame(spark, x), 2).collect()}
+    centred = x - x.mean(0)
+    _, axes = np.linalg.eigh(centred.T @ centred)
+    want = x @ axes[:, ::-1][:, :2]
+    y = np.array([got[i] for i in range(60)])
+    for k in range(2):  # up to the sign
+        assert min(np.abs(y[:, k] - want[:, k]).max(), np.abs(y[:, k] + want[:, k]).max()) < 1e-8

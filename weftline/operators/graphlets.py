@@ -33,21 +33,47 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return both_ways(edges).groupBy("frame_id", F.col("u").alias("item_id")).agg(F.array_sort(F.collect_list("v")).alias("near"))
 
 
-def connected_sets(edges: DataFrame, largest: int = 5) -> DataFrame:
-    """(frame_id, nodes): every connected set of 3 to ``largest`` items, once, its nodes sorted."""
+def typed_connected_sets(edges: DataFrame, largest: int = 5) -> DataFrame:
+    """(frame_id, nodes, gtype): every connected set of 3 to ``largest`` items, once, its nodes sorted, with its type.
+
+    A set carries its inner edges and the items around it, so it grows by one join with the newcomer's neighbours, and its
+    type follows without another."""
     near = write_table(adjacency(edges), "near")
-    sets, out = edges.select("frame_id", F.array("u", "v").alias("nodes")), None
-    for _ in range(3, largest + 1):
-        grown = sets.select("frame_id", "nodes", F.explode("nodes").alias("item_id")).join(near, ["frame_id", "item_id"])
-        grown = grown.select("frame_id", "nodes", F.explode(F.array_except("near", "nodes")).alias("new"))
-        sets = write_table(grown.select("frame_id", F.array_sort(F.concat("nodes", F.array("new"))).alias("nodes")).distinct(), "sets")
-        out = sets if out is None else out.union(sets)
+    of = lambda x: near.select("frame_id", F.col("item_id").alias(x), F.col("near").alias(f"near_{x}"))
+    nodes = F.array("u", "v")
+    sets = edges.join(of("u"), ["frame_id", "u"]).join(of("v"), ["frame_id", "v"])
+    sets = sets.select("frame_id", nodes.alias("nodes"), F.array(F.struct("u", "v")).alias("inner"), F.array_except(F.array_union("near_u", "near_v"), nodes).alias("around"))
+    out = None
+    for size in range(3, largest + 1):
+        grown = sets.select("*", F.explode("around").alias("item_id")).join(near, ["frame_id", "item_id"])
+        new = F.array_sort(F.concat("nodes", F.array("item_id")))
+        inner = F.concat("inner", F.transform(F.array_intersect("near", "nodes"), lambda n: F.struct(n.alias("u"), F.col("item_id").alias("v"))))
+        grown = grown.select("frame_id", new.alias("nodes"), inner.alias("inner"), F.array_except(F.array_union("around", "near"), new).alias("around"))
+        if size < largest:
+            sets = write_table(grown.dropDuplicates(["frame_id", "nodes"]), "sets")
+            typed = sets.select("frame_id", "nodes", _type_of("nodes", "inner").alias("gtype"))
+        else:
+            typed = grown.select("frame_id", "nodes", _type_of("nodes", "inner").alias("gtype")).distinct()
+        out = typed if out is None else out.union(typed)
     return out
 
 
+def connected_sets(edges: DataFrame, largest: int = 5) -> DataFrame:
+    """(frame_id, nodes): every connected set of 3 to ``largest`` items, once, its nodes sorted."""
+    return typed_connected_sets(edges, largest).select("frame_id", "nodes")
+
+
+def _type_of(nodes: str, inner: str) -> Column:
+    """The type of a set with its inner edges (u, v)."""
+    degree = lambda n: F.size(F.filter(inner, lambda e: (e["u"] == n) | (e["v"] == n)))
+    signature = F.array_join(F.array_sort(F.transform(nodes, lambda n: degree(n).cast("string"))), "")
+    products = F.aggregate(inner, F.lit(0), lambda a, e: a + degree(e["u"]) * degree(e["v"]))
+    return F.get(F.transform(F.array(signature), lambda s: graphlet_type(s, products)), F.lit(0))
+
+
 def graphlet_type(signature: Column, products: Column) -> Column:
     table = F.create_map(*(F.lit(x) for kv in TYPES.items() for x in kv))
-    out = F.get(F.map_values(F.map_filter(table, lambda k, _: k == signature)), F.lit(0))
+    out = F.try_element_at(table, signature)
     for sig, total, kind in PARTED:
         out = F.when((signature == sig) & (products == total), F.lit(kind)).otherwise(out)
     return out
@@ -87,7 +113,7 @@ def exact_counts(edges: DataFrame) -> DataFrame:
     for r in worst.collect():  # a row a frame
         if r["e"] * r["d"] ** 3 > MOST_SETS:
             raise ValueError(f"frame {r['frame_id']} may have {r['e'] * r['d'] ** 3} graphlets of five nodes; use sampled_counts")
-    return item_counts(typed_sets(connected_sets(edges), edges))
+    return item_counts(typed_connected_sets(edges))
 
 
 def layered(counts: DataFrame, layers: DataFrame, levels: int | None = None) -> DataFrame:

@@ -143,8 +143,7 @@ def components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graphlet_counts(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d)
-    return graphlets.typed_sets(graphlets.connected_sets(e), e)
+    return graphlets.typed_connected_sets(edges(spark, d))
 
 
 def dense_profile(spark: SparkSession, d: str) -> DataFrame:
