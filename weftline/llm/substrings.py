@@ -25,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import BLOCK, _blocks, _pack, _planes, _unpack, _unplanes
+from .bpe import _blocks, _pack, _planes, _unpack, _unplanes
 from .common import buckets_for, free_shuffles, materialize, release, replayable, texts, tune
 from .textkernel import SPACED, U, Hasher, buffers, words
 
 WINDOW, RUN = 13, 5
 #: Places of a source that one piece stays within.
 CELL = 512
-#: Pieces of one source that one row asks it for.
-ASKS = 20_000
+#: Bytes of text in a block, but for a block of one longer text.
+BLOCK = 4 << 20
+#: Pieces of one source that one row asks it for, and rows of a table up to which it is broadcast.
+ASKS, FEW = 200, 100_000
 TEXT, MINIMIZERS, EDGES = 0, 1, 2
 
 
@@ -276,14 +278,15 @@ def _held(window: int):
 def unheld(pieces: DataFrame, docs: DataFrame, window: int = WINDOW) -> int:
     """How many distinct pieces no document of their source's id holds at their place."""
     asked = materialize(pieces.select("source_id", "lo", "n", "digest").distinct(), "asked")
-    many = asked.groupBy("source_id").agg(F.ceil(F.count("*") / ASKS).alias("parts"))
-    asks = asked.join(many, "source_id").groupBy("source_id", F.pmod(F.xxhash64("lo", "n", "digest"), "parts").alias("part")).agg(F.collect_list(F.struct("lo", "n", "digest")).alias("asks"))
-    asks = materialize(asks.drop("part"), "asks")
+    # only sources that are asked for more have parts, so these are a two-hundredth of the pieces at most
+    many = materialize(asked.groupBy("source_id").agg(F.ceil(F.count("*") / ASKS).alias("parts")).where("parts > 1"), "many")
+    parted = asked.join(F.broadcast(many) if many.count() <= FEW else many, "source_id", "left").withColumn("part", F.pmod(F.xxhash64("lo", "n", "digest"), F.coalesce("parts", F.lit(1))))
+    asks = materialize(parted.groupBy("source_id", "part").agg(F.collect_list(F.struct("lo", "n", "digest")).alias("asks")).drop("part"), "asks")
     ids = asks.select(F.col("source_id").alias("doc_id")).distinct()
-    sources = docs.where("doc_id is not null").join(F.broadcast(ids) if ids.count() <= 500_000 else ids, "doc_id", "left_semi")
+    sources = docs.where("doc_id is not null").join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_semi")
     found = sources.join(asks, F.col("doc_id") == F.col("source_id")).select("doc_id", "text", "asks").mapInArrow(_held(window), "source_id long, lo long, n long, digest binary")
     out = asked.count() - found.distinct().count()
-    release(asked, asks)
+    release(asked, many, asks)
     return out
 
 
@@ -396,10 +399,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, cell:
     free_shuffles(spark)
     blocks = docs.mapInArrow(_texts(block), columns)
     known = blocks.union(repeated)
-    edges = known.groupBy("block").applyInArrow(_emit_edges(buckets, window, run), bundle)
+    edges = known.repartition(buckets, "block").groupBy("block").applyInArrow(_emit_edges(buckets, window, run), bundle)
     replies = materialize(edges.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_join_edges, columns), "edges")
     free_shuffles(spark)
-    pieces = materialize(known.union(replies).groupBy("block").applyInArrow(_emit_pieces(buckets, window, run, cell), PIECE), "pieces")
+    pieces = materialize(known.union(replies).repartition(buckets, "block").groupBy("block").applyInArrow(_emit_pieces(buckets, window, run, cell), PIECE), "pieces")
     release(repeated, replies)
     free_shuffles(spark)
     wrong = unheld(pieces, docs, window)
@@ -407,7 +410,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, cell:
         raise RuntimeError(f"{wrong} pieces differ from their source: two windows share a hash")
     spans = _spans(pieces, materialize(paths(pieces, cell), "paths"), window, cell)
     free_shuffles(spark)
-    return blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_finish, f"doc_id long, n_words long, n_removed long, kept string, spans array<{SPAN}>")
+    return blocks.repartition(buckets, "block").groupBy("block").cogroup(spans.repartition(buckets, "block").groupBy("block")).applyInArrow(_finish, f"doc_id long, n_words long, n_removed long, kept string, spans array<{SPAN}>")
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
