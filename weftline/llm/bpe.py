@@ -291,7 +291,7 @@ def encode_decode(keyed: DataFrame, model: str, block: int = BLOCK, buckets: int
     table = piece_table(model)
     names, spelled = np.array([i for i, _ in table], np.int64), [p for _, p in table]
     joined = spark.sparkContext.broadcast((names, np.array([len(p) for p in spelled], np.int64), np.frombuffer(b"".join(spelled), np.uint8)))
-    return rows.groupBy("block").applyInArrow(_assemble(joined), "key long, ids array<int>, decoded string")
+    return rows.repartition(buckets, "block").groupBy("block").applyInArrow(_assemble(joined), "key long, ids array<int>, decoded string")
 
 
 def vocabulary(path: str | None = None) -> str:
