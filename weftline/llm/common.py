@@ -39,12 +39,16 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def replayable(docs: DataFrame, tag: str) -> DataFrame:
-    """``docs`` itself if every recomputation gives its rows in the same order, as a file scan does; else a written copy.
+    """``docs`` itself if it is a scan of files with nothing but projections and filters, whose rows come in the same order in
+    every run; else a written copy.
 
     Kernels that number blocks of rows run more than once over the same input, so the numbers must not change."""
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    moves = any(x in plan for x in ("Exchange", "Scan ExistingRDD", "LocalTableScan", "InMemoryTableScan", "MapInArrow", "MapInPandas", "Union"))
-    return materialize(docs, tag) if moves else docs
+    plan = docs._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    scans = all(leaves.apply(i).getClass().getSimpleName() == "FileSourceScanExec" for i in range(leaves.size()))
+    text = plan.toString()
+    moves = any(x in text for x in ("Exchange", "MapInArrow", "MapInPandas", "Union", "Sort", "Limit", "Sample"))
+    return docs if scans and leaves.size() == 1 and not moves else materialize(docs, tag)
 
 
 def buckets_for(docs: DataFrame, column: str = "text") -> int:
