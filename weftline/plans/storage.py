@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: dict[str, SparkSession] = {}
+#: Folders of local sessions, which go with the process.
+_temporary: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,7 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="weftline-")
+        _temporary.append(tempfile.mkdtemp(prefix="weftline-"))
+        where = "file://" + _temporary[-1]
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
@@ -74,4 +78,6 @@ def _sweep() -> None:
             if spark.sparkContext._jsc is not None:
                 _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended already
-            return
+            break
+    for folder in _temporary:
+        shutil.rmtree(folder, ignore_errors=True)
