@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, replayable, texts, tune
+from .common import buckets_for, dealt, replayable, texts, tune
 from .textkernel import SLICE, Hasher, U, buffers, gather
 
 #: Bytes of text in a block, but for a block of one longer text.
@@ -285,13 +285,13 @@ def encode_decode(keyed: DataFrame, model: str, block: int = BLOCK, buckets: int
     buckets = buckets or buckets_for(keyed)
     held = spark.sparkContext.broadcast(model)
     bundles = keyed.mapInArrow(_bundles(block, buckets), "bucket int, block long, data binary")
-    words = bundles.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_encoder(held), "block long, data binary")
+    words = dealt(bundles, "bucket", buckets).groupBy("bucket").applyInArrow(_encoder(held), "block long, data binary")
     rows = keyed.mapInArrow(_positions(block), "block long, kind int, keys array<long>, data binary")
     rows = rows.union(words.select("block", F.lit(1), F.lit(None).cast("array<long>"), "data"))
     table = piece_table(model)
     names, spelled = np.array([i for i, _ in table], np.int64), [p for _, p in table]
     joined = spark.sparkContext.broadcast((names, np.array([len(p) for p in spelled], np.int64), np.frombuffer(b"".join(spelled), np.uint8)))
-    return rows.repartition(buckets, "block").groupBy("block").applyInArrow(_assemble(joined), "key long, ids array<int>, decoded string")
+    return dealt(rows, "block", buckets).groupBy("block").applyInArrow(_assemble(joined), "key long, ids array<int>, decoded string")
 
 
 def vocabulary(path: str | None = None) -> str:

@@ -12,6 +12,8 @@ from ..plans.storage import write_table as materialize
 ARROW_ROWS = 2000
 #: Bytes of text for which there is one bucket; a bucket's rows are one group of a kernel.
 BUCKET = 4 << 20
+#: Partitions of a shuffle by bucket or block, at most: more than the driver can keep count of help nobody.
+PARTITIONS = 50_000
 
 
 def tune(spark: SparkSession) -> None:
@@ -55,3 +57,8 @@ def buckets_for(docs: DataFrame, column: str = "text") -> int:
     """How many buckets the hashes of so much text are dealt into: they follow the input, so that no bucket grows with it."""
     size = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
     return max(8, -(-size // BUCKET))
+
+
+def dealt(rows: DataFrame, column: str, buckets: int) -> DataFrame:
+    """``rows`` by ``column``, in as many partitions as buckets; a partition of several groups takes one after the other."""
+    return rows.repartition(min(buckets, PARTITIONS), column)

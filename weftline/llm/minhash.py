@@ -269,7 +269,7 @@ def _open(inside: DataFrame, comp: DataFrame | None) -> DataFrame:
     return materialize(members.join(sizes, "key").select("key", "a", "comp", "c", "crossing"), "open")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, counted: bool = False, rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, counted: bool = False, rounds: int = 2) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id (the smallest doc_id that links reach), kept (doc_id = class_id).
 
     A link joins two texts whose sets (or, ``counted``, bags) of ``size`` consecutive words reach the Jaccard
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     With 25 bands of 5 a pair at 0.8 is found with probability 0.99995, and more at every higher similarity.
 
     In up to ``rounds`` rounds the members of a bucket are compared with one of them, another each round, until few pairs
-    are left; what then lies in different components of one bucket is compared pair by pair."""
+    are left or a round leaves more than half of them; what then lies in different components of one bucket is compared pair by pair."""
     base = materialize(sketches(docs, size, rows, bands, counted), "sketches")
     known = base.where("doc_id is not null")
     groups = materialize(known.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("a"), F.min_by(F.struct("bands", "parity"), "doc_id").alias("s")).select("d1", "d2", "n", "a", "s.*"), "groups")
@@ -288,13 +288,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared")
     inside = materialize(keyed.join(shared.hint("merge"), "key"), "inside")  # a table that follows the input is not for broadcasting
     free_shuffles(docs.sparkSession)
-    links, comp = None, None
+    links, comp, before = None, None, float("inf")
     for turn in range(rounds + 1):
         members = _open(inside, comp)
         n, crossing = members.agg(F.count("*"), F.sum(F.col("crossing") / F.col("c"))).first()
         if not n:
             break
-        last = turn == rounds or crossing <= 2 * n
+        # further hubs pay while each halves what is left
+        last, before = turn == rounds or crossing <= 2 * n or crossing > before / 2, crossing
         if last:
             pairs = _across(members, vertices, threshold)
         else:

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _blocks, _pack, _planes, _unpack, _unplanes
-from .common import buckets_for, free_shuffles, materialize, release, replayable, texts, tune
-from .textkernel import SPACED, U, Hasher, buffers, words
+from .common import buckets_for, dealt, free_shuffles, materialize, release, replayable, texts, tune
+from .textkernel import SPACED, U, Hasher, buffers, mix, words
 
 WINDOW, RUN = 13, 5
 #: Places of a source that one piece stays within.
@@ -80,7 +80,7 @@ class Block:
         least = runs[:n].copy() if n else runs[:0]
         for j in range(1, window - run + 1):
             np.minimum(least, runs[j : j + n], out=least)
-        self.minimizer = least[self.at]
+        self.minimizer = mix(least[self.at], 9)  # least ones lie low: mixed, they spread over the buckets
         self.doc = np.array([-1 if k is None else k for k in self.keys], np.int64)[self.row[self.at]] if len(self.keys) else np.zeros(0, np.int64)
         return self
 
@@ -395,14 +395,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, cell:
     docs = replayable(texts(docs), "texts")
     buckets = buckets or buckets_for(docs)
     columns, bundle = "block long, kind int, bucket int, keys array<long>, data binary", "bucket int, block long, data binary"
-    repeated = materialize(docs.mapInArrow(_emit_minimizers(block, buckets, window, run), bundle).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_join_minimizers, columns), "minimizers")
+    repeated = materialize(dealt(docs.mapInArrow(_emit_minimizers(block, buckets, window, run), bundle), "bucket", buckets).groupBy("bucket").applyInArrow(_join_minimizers, columns), "minimizers")
     free_shuffles(spark)
     blocks = docs.mapInArrow(_texts(block), columns)
     known = blocks.union(repeated)
-    edges = known.repartition(buckets, "block").groupBy("block").applyInArrow(_emit_edges(buckets, window, run), bundle)
-    replies = materialize(edges.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_join_edges, columns), "edges")
+    edges = dealt(known, "block", buckets).groupBy("block").applyInArrow(_emit_edges(buckets, window, run), bundle)
+    replies = materialize(dealt(edges, "bucket", buckets).groupBy("bucket").applyInArrow(_join_edges, columns), "edges")
     free_shuffles(spark)
-    pieces = materialize(known.union(replies).repartition(buckets, "block").groupBy("block").applyInArrow(_emit_pieces(buckets, window, run, cell), PIECE), "pieces")
+    pieces = materialize(dealt(known.union(replies), "block", buckets).groupBy("block").applyInArrow(_emit_pieces(buckets, window, run, cell), PIECE), "pieces")
     release(repeated, replies)
     free_shuffles(spark)
     wrong = unheld(pieces, docs, window)
@@ -410,7 +410,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN, cell:
         raise RuntimeError(f"{wrong} pieces differ from their source: two windows share a hash")
     spans = _spans(pieces, materialize(paths(pieces, cell), "paths"), window, cell)
     free_shuffles(spark)
-    return blocks.repartition(buckets, "block").groupBy("block").cogroup(spans.repartition(buckets, "block").groupBy("block")).applyInArrow(_finish, f"doc_id long, n_words long, n_removed long, kept string, spans array<{SPAN}>")
+    return dealt(blocks, "block", buckets).groupBy("block").cogroup(dealt(spans, "block", buckets).groupBy("block")).applyInArrow(_finish, f"doc_id long, n_words long, n_removed long, kept string, spans array<{SPAN}>")
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
