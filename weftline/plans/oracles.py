@@ -222,6 +222,7 @@ ORACLES = {
     "match_edges_norm": _q(WEIGHTS, f"SELECT src, dst, {r('CASE WHEN lo = hi THEN weight ELSE (weight - lo) / (hi - lo) END')} AS weight FROM w, (SELECT min(weight) AS lo, max(weight) AS hi FROM w)"),
     "pairwise_sqdist": _q(DIST, f"SELECT i, j, {r('d2')} AS d2 FROM dd"),
     "perplexity_beta": _q(BETA, f"SELECT i, {r('beta')} AS beta FROM beta"),
+    "perplexity_beta_matrix": _q(BETA, f"SELECT i, {r('beta')} AS beta FROM beta"),
     "perplexity_beta_folds": _q(BETA, f"SELECT i, {r('beta')} AS beta FROM beta"),
     "mean_sigma": _q(BETA, f"SELECT 0 AS frame_id, {r('avg(sqrt(1 / beta))')} AS sigma FROM beta"),
     "conditional_p": _q(P, f"SELECT i, j, {r('p', 9)} AS p FROM cp"),
