@@ -22,7 +22,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Rows equal throughout are copies of each other, and a shared id doesn't make rows copies. Texts without words, null ones
     too, are one class. An empty table gives no rows."""
-    return minhash.one_of_each(docs, counted=True)
+    return minhash.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

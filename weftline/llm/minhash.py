@@ -335,4 +335,4 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), counted=True)
+    return near_duplicates(table(spark, sf_dir, "documents"))
