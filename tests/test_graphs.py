@@ -1,4 +1,5 @@
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -189,3 +190,23 @@ def test_coherence_error(spark):
     matches = spark.createDataFrame([(0, 1, 0, 1, 1.0), (0, 1, 1, 2, 3.0)], "frame_a int, frame_b int, src long, dst long, weight double")
     got = quality.coherence_error(matches, at(0, [(0, 0), (1, 0), (1, 1)]), at(1, [(0, 0), (1, 0), (1, 3)])).first()
     assert (got["frame_a"], got["frame_b"], got["error"]) == (0, 1, pytest.approx((1 * 0 + 3 * 2) / 4))
+
+
+@pytest.mark.parametrize("density", [0.15, 0.4, 0.8, 1.0])
+def test_counts_without_listing_are_those_of_the_sets(spark, density):
+    rng = np.random.default_rng(int(density * 100))
+    pairs = [p for p in itertools.combinations(range(11), 2) if rng.random() < density]
+    e = edges(spark, pairs).union(edges(spark, [(5, 900), (900, 7)], 3))
+    rows = lambda c: sorted(map(tuple, c.collect()))
+    listed = graphlets.typed_connected_sets(e).cache()
+    counts = graphlets.exact_counts(e)
+    assert rows(counts) == rows(graphlets.item_counts(listed))
+    assert rows(graphlets.type_totals(counts)) == rows(graphlets.type_counts(listed))
+
+
+def test_a_hub_is_counted_exactly(spark):
+    """A star of 2000 leaves, for which listing or its estimate gave up: 2000 choose 4 sets of five."""
+    got = {(r["item_id"], r["gtype"]): r["cnt"] for r in graphlets.exact_counts(edges(spark, [(0, i) for i in range(1, 2001)])).collect()}
+    assert [got[0, t] for t in (0, 3, 10)] == [math.comb(2000, k) for k in (2, 3, 4)]
+    assert [got[7, t] for t in (0, 3, 10)] == [math.comb(1999, k) for k in (1, 2, 3)]
+    assert {t for _, t in got} == {0, 3, 10}
