@@ -261,3 +261,18 @@ def test_principal_components(spark):
     y = np.array([got[i] for i in range(60)])
     for k in range(2):  # up to the sign
         assert min(np.abs(y[:, k] - want[:, k]).max(), np.abs(y[:, k] + want[:, k]).max()) < 1e-8
+
+
+def test_rows_of_distances_serve_both_calibrations_and_no_pair_is_shuffled(spark):
+    rng = np.random.default_rng(8)
+    points = frame(spark, rng.normal(size=(150, 4)).tolist())
+    pairs, rows = affinity.squared_distances(points).cache(), affinity.distance_rows(points).cache()
+    assert (rows.count(), {len(r["d"]) for r in rows.collect()}) == (150, {149})
+    betas = lambda got: [pytest.approx(b, rel=1e-9) for _, b in sorted((r["i"], r["beta"]) for r in got.collect())]
+    want = [r["beta"] for r in affinity.calibrated(pairs, 10.0).orderBy("i").collect()]
+    assert betas(affinity.calibrated_rows(rows, 10.0)) == want
+    assert betas(affinity.folded_rows(rows, 10.0)) == want
+    assert betas(affinity.calibrated_by_folds(pairs, 10.0)) == want
+    for got in (affinity.squared_distances(points), affinity.fitted(points, 10.0)):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "FlatMapGroupsInArrow" not in plan
