@@ -210,3 +210,26 @@ def test_a_hub_is_counted_exactly(spark):
     assert [got[0, t] for t in (0, 3, 10)] == [math.comb(2000, k) for k in (2, 3, 4)]
     assert [got[7, t] for t in (0, 3, 10)] == [math.comb(1999, k) for k in (1, 2, 3)]
     assert {t for _, t in got} == {0, 3, 10}
+
+
+def test_steps_of_a_walk_are_its_moves():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        near = {i: set() for i in range(9)}
+        for a, b in itertools.combinations(range(9), 2):
+            if rng.random() < 0.35:
+                near[a].add(b)
+                near[b].add(a)
+        nodes = frozenset(rng.choice(9, int(rng.integers(3, 6)), replace=False).tolist())
+        if graphlets._joined(nodes, near):
+            steps = graphlets._Steps(nodes, near)
+            assert [steps[i] for i in range(len(steps))] == graphlets._moves(nodes, near)
+
+
+def test_walks_share_the_length_of_a_component(spark, monkeypatch):
+    monkeypatch.setattr(graphlets, "WALK", 10)
+    ring = [(i, (i + 1) % 40) for i in range(40)]
+    got = graphlets.sampled_counts(edges(spark, ring), 50, 3).collect()
+    sizes = {0: 3, 2: 4, 8: 5}
+    assert {r["gtype"] for r in got} == set(sizes) and len({(r["item_id"], r["gtype"]) for r in got}) == len(got)
+    assert sum(r["cnt"] / sizes[r["gtype"]] for r in got) == pytest.approx(40 * 50)

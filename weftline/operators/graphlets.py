@@ -5,7 +5,6 @@ within a set; two signatures stand for two types each, which the sum over edges
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,6 +29,10 @@ N_TYPES = 29
 MOST_SETS = 10**9
 
 
+#: Items for which a component gets a further walk, and walks of a component at most; together they are as long as one would be.
+WALK, MOST_WALKS = 256, 64
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """(frame_id, item_id, near): the sorted neighbours."""
     return both_ways(edges).groupBy("frame_id", F.col("u").alias("item_id")).agg(F.array_sort(F.collect_list("v")).alias("near"))
@@ -182,29 +185,81 @@ def _moves(nodes: frozenset[int], near: dict[int, set[int]]) -> list[frozenset[i
     return out
 
 
+def _told(counts: dict[tuple[int, int], int], nodes: frozenset[int], times: int, near: dict[int, set[int]]) -> None:
+    if times:
+        kind = _shape(nodes, near)
+        for n in nodes:
+            counts[n, kind] = counts.get((n, kind), 0) + times
+
+
+class _Steps:
+    """The same sets in the same order as :func:`_moves`, counted without building them: where what stays is whole, each item
+    around it fits; where it isn't, only items that all its pieces have around them."""
+
+    def __init__(self, nodes: frozenset[int], near: dict[int, set[int]]):
+        self.nodes, self.kinds = nodes, []
+        for gone in sorted(nodes):
+            core = nodes - {gone}
+            pieces = _pieces(core, near)
+            if len(pieces) == 1 and len(core) >= 3:
+                self.kinds.append((1, core, None))
+            fits = set.intersection(*(set().union(*(near[n] for n in piece)) for piece in pieces)) - core
+            self.kinds.append((len(fits), core, fits))
+        if len(nodes) < 5:
+            fits = set().union(*(near[n] for n in nodes)) - nodes
+            self.kinds.append((len(fits), nodes, fits))
+        self.count = sum(k[0] for k in self.kinds)
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __getitem__(self, at: int) -> frozenset[int]:
+        for n, core, fits in self.kinds:
+            if at < n:
+                return core if fits is None else core | {sorted(fits)[at]}
+            at -= n
+        raise IndexError(at)
+
+
+def _pieces(nodes: frozenset[int], near: dict[int, set[int]]) -> list[set[int]]:
+    """The nodes by the pieces that edges among them make."""
+    out, left = [], set(nodes)
+    while left:
+        piece, todo = set(), [left.pop()]
+        while todo:
+            n = todo.pop()
+            piece.add(n)
+            new = near[n] & left if len(near[n]) < len(left) else left & near[n]
+            left -= new
+            todo += new
+        out.append(piece)
+    return out
+
+
 def _walk(seed: int, steps: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         near: dict[int, set[int]] = {}
         for u, v in zip(rows["u"], rows["v"], strict=True):
             near.setdefault(int(u), set()).add(int(v))
             near.setdefault(int(v), set()).add(int(u))
-        frame, first = int(rows["frame_id"].iloc[0]), int(rows["component"].iloc[0])
-        rng = np.random.default_rng([seed, frame, first])
-        reached, at = [first], 0
+        frame, first, walk, walks = (int(rows[c].iloc[0]) for c in ("frame_id", "component", "walk", "walks"))
+        rng = np.random.default_rng([seed, frame, first, walk] if walk else [seed, frame, first])
+        reached, at = [sorted(near)[walk * len(near) // walks]], 0
         while len(reached) < 4 and at < len(reached):
             reached += [n for n in sorted(near[reached[at]]) if n not in reached][: 4 - len(reached)]
             at += 1
         counts: dict[tuple[int, int], int] = {}
         if len(reached) >= 3:
-            now = frozenset(reached)
-            moves, kind = _moves(now, near), _shape(now, near)
-            for _ in range(steps * len(near)):
-                other = moves[rng.integers(len(moves))]
-                theirs = _moves(other, near) if other != now else moves
-                if rng.random() * len(theirs) <= len(moves):
-                    now, moves, kind = other, theirs, _shape(other, near) if other != now else kind
-                for n in now:
-                    counts[n, kind] = counts.get((n, kind), 0) + 1
+            now, stays = frozenset(reached), 0
+            moves, total = _Steps(now, near), steps * len(near)
+            for _ in range(total * (walk + 1) // walks - total * walk // walks):
+                other = moves[int(rng.integers(len(moves)))]
+                theirs = _Steps(other, near) if other != now else moves
+                if rng.random() * len(theirs) <= len(moves) and other != now:
+                    _told(counts, now, stays, near)
+                    now, moves, stays = other, theirs, 0
+                stays += 1
+            _told(counts, now, stays, near)
         keys = list(counts)
         return pd.DataFrame({"frame_id": np.full(len(keys), frame, np.int32), "item_id": [k[0] for k in keys], "gtype": [k[1] for k in keys], "cnt": [counts[k] for k in keys]}).astype({"item_id": "int64", "gtype": "int32", "cnt": "int64"})
 
@@ -214,7 +269,14 @@ def _walk(seed: int, steps: int):
 def sampled_counts(edges: DataFrame, steps: int = 1000, seed: int = 0) -> DataFrame:
     """Item counts along a Metropolis-Hastings walk over the graphlets of each component, ``steps`` times its items long.
 
-    The walk's law is uniform over connected sets of 3 to 5 nodes. A walk holds one component; components are walked apart."""
-    member = components(edges).withColumnRenamed("item_id", "u")
-    rows = edges.join(member, ["frame_id", "u"]).select("frame_id", "component", "u", "v").distinct()
-    return rows.groupBy("frame_id", "component").applyInPandas(_walk(seed, steps), "frame_id int, item_id long, gtype int, cnt long")
+    The walk's law is uniform over connected sets of 3 to 5 nodes. A large component's length is shared by walks that start at
+    items spread over it, each a task of its own that holds the component's edges; components are walked apart."""
+    member = components(edges)
+    walks = F.greatest(F.lit(1), F.least(F.lit(MOST_WALKS), F.expr(f"count(1) div {WALK}"))).cast("int")
+    sizes = member.groupBy("frame_id", "component").agg(walks.alias("walks"))
+    rows = edges.join(member.withColumnRenamed("item_id", "u"), ["frame_id", "u"]).select("frame_id", "component", "u", "v").distinct()
+    rows = rows.join(sizes, ["frame_id", "component"]).select("*", F.explode(F.sequence(F.lit(0), F.col("walks") - 1)).alias("walk"))
+    # by number, or the few bytes of all walks would be put in one task
+    rows = rows.repartition(8 * edges.sparkSession.sparkContext.defaultParallelism, "frame_id", "component", "walk")
+    walked = rows.groupBy("frame_id", "component", "walk").applyInPandas(_walk(seed, steps), "frame_id int, item_id long, gtype int, cnt long")
+    return walked.groupBy("frame_id", "item_id", "gtype").agg(F.sum("cnt").alias("cnt"))
