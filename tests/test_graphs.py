@@ -1,12 +1,13 @@
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import frames as fr
-from weftline.operators import graph, graphlets, knn, matching
+from weftline.operators import graph, graphlets, knn, matching, profiles
 
 
 def frame(spark, points, labels=None, frame_id=0):
@@ -212,6 +213,32 @@ def test_a_hub_is_counted_exactly(spark):
     assert {t for _, t in got} == {0, 3, 10}
 
 
+def test_counting_holds_few_numbers_for_each_path_of_two_links():
+    """One executor may count two frames at a time: products over the same cells share these, and none is sorted whole.
+
+    Bytes a path: 250 before, 105 since."""
+    rng = np.random.default_rng(5)
+    n = 20_000
+    links = np.unique(np.sort(np.concatenate([np.stack([np.arange(n), (np.arange(n) + k) % n], 1) for k in (1, 2)] + [rng.integers(0, n, (n, 2))]), axis=1), axis=0)
+    u, v = links[links[:, 0] != links[:, 1]].T
+    paths = int((np.bincount(np.concatenate([u, v])) ** 2).sum())
+    tracemalloc.start()
+    try:
+        profiles.item_counts(n, u, v, graphlets._shape, graphlets._joined)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 160 * paths
+
+
+def test_ids_beyond_narrow_numbers_are_counted(spark):
+    """Items are many enough for products of two narrow numbers to overflow."""
+    n = 70_000
+    pairs = [(i, i + 1) for i in range(0, n, 2)] + [(n - 4 + i, n - 4 + j) for i, j in itertools.combinations(range(4), 2) if (i, j) not in ((0, 1), (2, 3))]
+    got = {(r["item_id"], r["gtype"]): r["cnt"] for r in graphlets.exact_counts(edges(spark, pairs)).collect()}
+    assert got == {(n - 4 + i, t): c for i in range(4) for t, c in ((1, 3), (7, 1))}
+
+
 def test_steps_of_a_walk_are_its_moves():
     rng = np.random.default_rng(0)
     for _ in range(200):
