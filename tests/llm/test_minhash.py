@@ -94,6 +94,21 @@ def test_one_of_each_keeps_rows_not_ids(spark):
     assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == sorted([("1", a), ("1", b), ("None", rows[5][1]), ("3", None)])
 
 
+@pytest.mark.parametrize("room", [64 << 20, 0])
+def test_no_text_is_shuffled_to_keep_one_of_each(spark, monkeypatch, room):
+    """However many rows stay: their numbers go to the texts. Without room for these a join gives the same."""
+    monkeypatch.setattr(minhash, "BROADCAST", room)
+    rows = [(i, f"{i % 150} some words of text number {i % 150} and so on") for i in range(300)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+        moved = "hashpartitioning" in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["doc_id"] for r in got.collect()) == list(range(150))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert moved == (not room)
+
+
 def test_query_columns(spark, data):
     got = minhash.op1_minhash_near_dedup(spark, data)
     assert got.dtypes == [("doc_id", "bigint"), ("class_id", "bigint"), ("kept", "boolean")]

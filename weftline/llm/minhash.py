@@ -28,6 +28,8 @@ from .textkernel import ALNUM, U, Hasher, buffers, lists, mix, ranges, words
 SHINGLE, THRESHOLD, ROWS, BANDS = 5, 0.8, 5, 25
 #: Bits of a set's parity map; see :func:`_near`.
 BITS = 512
+#: Bytes of a broadcast row of 64 bits, and of all of them up to which they are broadcast: 130 million rows or more.
+WORD_BYTES, BROADCAST = 32, 64 << 20
 #: A bucket of more members than this is dealt into blocks of about so many, and pairs are formed block by block.
 WIDE = 4096
 
@@ -266,7 +268,9 @@ def _open(inside: DataFrame, comp: DataFrame | None) -> DataFrame:
     members = materialize(members, "members")
     sizes = members.groupBy("key", "comp").count().groupBy("key").agg(F.sum("count").alias("c"), F.sum(F.col("count") * F.col("count")).alias("squares"), F.count("*").alias("parts"))
     sizes = materialize(sizes.where("parts > 1").select("key", "c", ((F.col("c") * F.col("c") - F.col("squares")) / 2).alias("crossing")), "sizes")
-    return materialize(members.join(sizes, "key").select("key", "a", "comp", "c", "crossing"), "open")
+    out = materialize(members.join(sizes, "key").select("key", "a", "comp", "c", "crossing"), "open")
+    release(members, sizes)
+    return out
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, rows: int = ROWS, bands: int = BANDS, counted: bool = False, rounds: int = 1) -> DataFrame:
@@ -316,6 +320,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     else:
         classes = groups.join(comp.withColumnRenamed("id", "a"), "a", "left").select("d1", "d2", "n", F.coalesce("component", "a").alias("class_id"))
     classes = materialize(classes, "classes")
+    release(groups, shared, inside, *(t for t in (links, comp) if t is not None))
     out = known.join(classes, ["d1", "d2", "n"]).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
     return out.union(base.where("doc_id is null").select("doc_id", F.lit(None).cast("long"), F.lit(True)))
 
@@ -331,7 +336,20 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     known = rows.select(F.col(number).alias("r"), F.col("doc_id").cast("long").alias("d")).join(classes.select(F.col("doc_id").alias("r"), "class_id"), "r")
     order = F.struct(F.col("d").isNull().alias("n"), "d", "r")
     first = materialize(known.groupBy("class_id").agg(F.min(order).alias("o")).select(F.col("o.r").alias(number)), "first")
-    return rows.join(first, number, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return _numbered(rows, first, number).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _numbered(rows: DataFrame, keep: DataFrame, number: str) -> DataFrame:
+    """The ``rows`` whose number is among those of ``keep``, in which none repeats.
+
+    Numbers of a task's rows have no gaps, so they go out as bits, 64 a row, and the texts stay where they are. Only if the
+    bits take too much for that are rows and numbers joined through a shuffle."""
+    word, bit = F.shiftright(number, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.col(number).bitwiseAND(F.lit(63)).cast("int"))
+    at, bits = spare("word", rows.columns), spare("bits", rows.columns)
+    words = materialize(keep.groupBy(word.alias(at)).agg(F.bit_or(bit).alias(bits)), "bits")
+    if words.count() * WORD_BYTES > BROADCAST:
+        return rows.join(keep, number, "left_semi")
+    return rows.join(F.broadcast(words), word == F.col(at)).where(F.col(bits).bitwiseAND(bit) != 0)
 
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
