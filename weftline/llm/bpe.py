@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, dealt, replayable, texts, tune
+from .common import buckets_for, dealt, give_back, replayable, texts, tune
 from .textkernel import SLICE, Hasher, U, buffers, gather
 
 #: Bytes of text in a block, but for a block of one longer text.
@@ -123,6 +123,8 @@ def _positions(most: int):
         for block, (key, text) in _blocks(batches, most):
             per, at, words = _split(text)
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([0], pa.int32()), pa.array([key.to_pylist()], pa.list_(pa.int64())), pa.array([_pack(per.astype("<i8"), _planes(at), np.array([len(words)], "<i8"))], pa.binary())], names=["block", "kind", "keys", "data"])
+            del per, at, words
+            give_back()
 
     return run
 
@@ -135,6 +137,8 @@ def _bundles(most: int, buckets: int):
             for bucket, at in _dealt(hasher, words, buckets):
                 data, offs = buffers(words.take(pa.array(at)))
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block]), pa.array([_pack(_planes(at), _planes(np.diff(offs)), data)], pa.binary())], names=["bucket", "block", "data"])
+            del words
+            give_back()
 
     return run
 
@@ -189,6 +193,8 @@ def _encoder(model):
             lo += len(bundle)
             ids = flat[gather(first[mine], counts[mine])]
             out.append(_pack(where, _planes(counts[mine]), _planes(ids)))
+        del coded, at, words, bundles, places, counts, flat, first
+        give_back()
         return pa.table({"block": pa.array(blocks, pa.int64()), "data": pa.array(out, pa.binary())})
 
     return run
@@ -266,7 +272,8 @@ def _assemble(table):
         off = np.zeros(len(per) + 1, np.int32)
         np.cumsum([len(x) for x in ids], out=off[1:])
         all_ids = pa.concat_arrays(ids) if ids else pa.array([], pa.int32())
-        pa.default_memory_pool().release_unused()
+        del chunks, flat, spelt, spot, word_first, word_lens
+        give_back()
         return pa.table({"key": pa.array(keys, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(off), all_ids), "decoded": pa.array(decoded, pa.string())})
 
     return run

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, materialize, release, spare, table, texts, tune
+from .common import free_shuffles, give_back, materialize, release, spare, table, texts, tune
 from .components import components
 from .textkernel import ALNUM, U, Hasher, buffers, lists, mix, ranges, words
 
@@ -158,6 +158,7 @@ def _sketch(size: int, k: int, per_band: int, counted: bool):
                     [batch.column(0).slice(lo, n), pa.array(same[:, 0]), pa.array(same[:, 1]), pa.array(per.astype(np.int64)), lists(np.where(has, bands, 0), pa.array(key[has].reshape(-1).view(np.int64))), lists(np.full(n, BITS // 64), pa.array(odd.reshape(-1)))],
                     names=["doc_id", "d1", "d2", "n", "bands", "parity"],
                 )
+        give_back()
 
     return run
 
@@ -179,6 +180,7 @@ def _sets(size: int, counted: bool):
                 edge = np.searchsorted(row, np.arange(hi - lo + 1))
                 raw = [_pack(sh[a:b], cnt[a:b] if counted else None) for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(raw, pa.binary())], names=["doc_id", "shingles"])
+        give_back()
 
     return run
 
@@ -217,6 +219,7 @@ def _compare(threshold: float, counted: bool):
                 keep.append(common >= threshold * (total - common) - 1e-9)
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+        give_back()
 
     return run
 
