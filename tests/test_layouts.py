@@ -99,6 +99,23 @@ def test_blocks_and_one_task_descend_alike(spark):
         assert cut[i] == pytest.approx(at, abs=1e-6)
 
 
+@pytest.mark.parametrize("far", [0.0, 1e7])
+def test_one_stage_takes_all_steps(spark, monkeypatch, far):
+    """Tasks that hold their affinities descend as one task does, with shares below the floor too, and no step is a job."""
+    y = np.random.default_rng(4).normal(size=(len(POINTS), 2)) + np.repeat([[0.0], [far]], [len(POINTS) - 4, 4], 0)
+    rows = frame(spark, POINTS).join(layout(y, spark), ["frame_id", "item_id"])
+    monkeypatch.setattr(descent, "nearness", None)  # the steps that are jobs
+    monkeypatch.setattr(descent, "BOOSTED", 2)
+    got = descent.descend_blocks(rows, 4.0, 4, block=5).orderBy("item_id").toPandas()[["y0", "y1"]].to_numpy()
+    p, now = np.maximum(descent.affinities(POINTS, 4.0) * affinity.EXAGGERATION, affinity.FLOOR), descent.Motion(y)
+    for t in range(4):
+        num = 1 / (1 + ((now.y[:, None] - now.y) ** 2).sum(2))
+        np.fill_diagonal(num, 0)
+        w = (p / (1 if t < descent.BOOSTED else affinity.EXAGGERATION) - np.maximum(num / num.sum(), affinity.FLOOR)) * num
+        now.push((w[:, :, None] * (now.y[:, None] - now.y)).sum(1))
+    assert got == pytest.approx(now.y, rel=1e-6, abs=1e-6)
+
+
 def test_layouts_are_centred_and_edges_hold_them(spark):
     x = np.random.default_rng(2).normal(size=(90, 4)) + np.repeat(np.eye(4)[:3] * 6, 30, 0)
     y = x + np.random.default_rng(3).normal(size=x.shape) * 0.2
