@@ -1,6 +1,11 @@
 import random
+import types
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import tokenizers
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe
@@ -45,3 +50,46 @@ def test_decoding_by_join(spark):
     assert bpe.decode(half, MODEL).first()["text"] == bpe.load(MODEL).decode(half.first()["ids"], skip_special_tokens=False)
     with pytest.raises(Exception, match="no piece"):
         bpe.decode(spark.createDataFrame([(1, [10**6])], "key long, ids array<int>"), MODEL).collect()
+
+
+def test_workers_load_the_tokenizer_once(monkeypatch):
+    want = [i for word in ("one", " two") for i in library([word])[0][0]]
+    loads, real = [], tokenizers.Tokenizer
+    monkeypatch.setattr(tokenizers, "Tokenizer", types.SimpleNamespace(from_str=lambda model: loads.append(1) or real.from_str(model)))
+    data = bpe._pack(bpe._planes(np.arange(2)), bpe._planes(np.array([3, 4])), np.frombuffer(b"one two", np.uint8))
+    group = pa.table({"block": pa.array([5]), "data": pa.array([data], pa.binary())})
+    sent = cloudpickle.dumps(bpe._encoder(types.SimpleNamespace(value=MODEL + " ")))
+    for _ in range(3):  # as many tasks of one worker
+        got = cloudpickle.loads(sent)(group)
+        _, counts, ids = map(bpe._unplanes, bpe._unpack(got["data"][0].as_py(), "u1", "u1", "u1"))
+        assert (counts.tolist(), ids.tolist()) == ([1, 1], want)
+    assert len(loads) == 1
+
+
+def test_blocks_return_their_texts_a_few_at_once(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    texts = [" ".join(f"w{i % 97}" for i in range(j % 400)) for j in range(1500)] + ["y " * 100_000] + ["z"] * 5
+    rows = pa.record_batch({"key": pa.array(range(len(texts))), "text": pa.array(texts)})
+    (positions,) = bpe._positions(bpe.BLOCK)(iter([rows]))
+    words = [bpe._encoder(types.SimpleNamespace(value=MODEL))(pa.table({"block": [b["block"][0].as_py()], "data": b["data"]})) for b in bpe._bundles(bpe.BLOCK, 8)(iter([rows]))]
+    parts = [pa.record_batch({"block": w["block"].combine_chunks(), "kind": pa.array([1], pa.int32()), "keys": pa.nulls(1, pa.list_(pa.int64())), "data": w["data"].combine_chunks()}) for w in words]
+    table = bpe.piece_table(MODEL)
+    held = (np.array([i for i, _ in table]), np.array([len(p) for _, p in table]), np.frombuffer(b"".join(p for _, p in table), np.uint8))
+    got = list(bpe._assemble(types.SimpleNamespace(value=held))(iter([parts[0], positions, *parts[1:]])))
+    assert len(got) > 5
+    assert all(b.num_rows == 1 or sum(len(t.split(" ")) for t in b["decoded"].to_pylist()) <= 2 * bpe.TOGETHER for b in got)
+    out = pa.Table.from_batches(got).to_pylist()
+    assert [(r["ids"], r["decoded"]) for r in out] == library(texts)
+    assert [r["key"] for r in out] == list(range(len(texts)))
+
+
+@pytest.mark.parametrize("picked", [1, 7, 1 << 18])
+def test_picking_in_parts(monkeypatch, picked):
+    monkeypatch.setattr(bpe, "PICKED", picked)
+    rng = np.random.default_rng(picked)
+    counts = rng.integers(0, 20, 50)
+    first = rng.integers(0, 80, 50)
+    values = rng.integers(0, 1000, 100).astype(np.int32)
+    want = [x for f, c in zip(first, counts, strict=True) for x in values[f : f + c].tolist()]
+    assert bpe._picked(values, first, counts).tolist() == want
+    assert bpe._picked(values, first[:0], counts[:0]).tolist() == []

@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import buckets_for, dealt, give_back, replayable, texts, tune
-from .textkernel import SLICE, Hasher, U, buffers, gather
+from .textkernel import SLICE, Hasher, U, buffers, gather, ranges
 
 #: Bytes of text in a block, but for a block of one longer text.
 BLOCK = 8 << 20
+#: Words whose texts are put together and returned at once, but for one longer text.
+TOGETHER = 1 << 15
+#: Elements that are picked by number at once.
+PICKED = 1 << 18
 
 
 def _safe() -> np.ndarray:
@@ -36,17 +42,16 @@ def _safe() -> np.ndarray:
 def units(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Where words begin: at each text's begin, and before a space, tab or line end that follows a character which is
     surely not white space (printable ASCII, or U+00C0 to U+07FF). Elsewhere words stay longer, which is as right."""
-    cut = np.zeros(len(data), bool)
-    cut[offs[:-1][offs[:-1] < len(data)]] = True
+    begins = offs[:-1][offs[:-1] < len(data)]
     safe, out = _safe(), []
     for lo in range(0, len(data), SLICE):
         part = data[max(lo - 2, 0) : lo + SLICE]  # with the two bytes before
         blank = (part == 32) | (part == 10) | (part == 9) | (part == 13)
         sure = safe[part]
         sure[1:] |= (part[1:] >= 0x80) & (part[1:] < 0xC0) & (part[:-1] >= 0xC3) & (part[:-1] <= 0xDF)
-        here = cut[max(lo - 2, 0) : lo + SLICE].copy()
-        here[1:] |= blank[1:] & sure[:-1]
-        head = lo - max(lo - 2, 0)
+        here, head = np.zeros(len(part), bool), lo - max(lo - 2, 0)
+        here[1:] = blank[1:] & sure[:-1]
+        here[begins[slice(*np.searchsorted(begins, [lo, lo + SLICE]))] - lo + head] = True
         out.append(np.flatnonzero(here[head:]).astype(np.int32) + lo)
     return np.concatenate(out) if out else np.zeros(0, np.int32)
 
@@ -107,7 +112,7 @@ def _split(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words of each text, the word number at each position, and the distinct words by falling frequency."""
     data, offs = buffers(text)
     starts = units(data, offs)
-    per = np.diff(np.searchsorted(starts, offs))
+    per = np.diff(np.searchsorted(starts, offs.astype(np.int32)))
     ends = np.append(starts, len(data)).astype(np.int32)
     words = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
     coded = words.dictionary_encode()
@@ -164,13 +169,44 @@ def load(model: str):
     return tok
 
 
-def _encoder(model):
-    loaded = []  # once a task
+def _loaded() -> dict[str, object]:
+    """The tokenizer that this process holds by its model. This package goes to workers by value, so that its own globals are
+    new in every task; a module of Python's table stays."""
+    return sys.modules.setdefault("_weftline_loaded", ModuleType("_weftline_loaded")).__dict__.setdefault("tokenizers", {})
+
+
+def tokenizer(model: str):
+    """What ``load`` gives, loaded once a worker: workers outlive tasks, and every load leaves memory behind in them."""
+    held = _loaded()
+    if model not in held:
+        held.clear()
+        held[model] = load(model)
+    return held[model]
+
+
+def drop_tokenizer() -> None:
+    _loaded().clear()
+
 
+def _picked(values: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """values[gather(first, counts)], in parts, so that the numbers take little beside the values."""
+    ends = np.cumsum(counts)
+    out, lo = np.empty(int(ends[-1]) if len(ends) else 0, values.dtype), 0
+    while lo < len(ends):
+        at = int(ends[lo - 1]) if lo else 0
+        hi = int(np.searchsorted(ends, at + PICKED, side="right"))
+        if hi > lo:
+            out[at : ends[hi - 1]] = values[gather(first[lo:hi], counts[lo:hi])]
+        else:  # one run is longer
+            hi = lo + 1
+            out[at : ends[lo]] = values[first[lo] : first[lo] + counts[lo]]
+        lo = hi
+    return out
+
+
+def _encoder(model):
     def run(group: pa.Table) -> pa.Table:
-        if not loaded:
-            loaded.append(load(model.value))
-        tok = loaded[0]
+        tok = tokenizer(model.value)
         blocks, bundles, places = group.column("block").to_pylist(), [], []
         for raw in group.column("data"):
             where, lens, data = _unpack(raw.as_py(), "u1", "u1", "u1")
@@ -185,13 +221,13 @@ def _encoder(model):
         for lo in range(0, len(words), 2_000):
             got = [e.ids for e in tok.encode_batch_fast(words.slice(lo, 2_000).to_pylist(), add_special_tokens=False)]
             counts.append(np.array([len(ids) for ids in got], np.int64))
-            flat.append(np.fromiter(chain.from_iterable(got), np.int64))
+            flat.append(np.fromiter(chain.from_iterable(got), np.int32))
         counts, flat = np.concatenate(counts), np.concatenate(flat)
         first, out, lo = np.cumsum(counts) - counts, [], 0
         for bundle, where in zip(bundles, places, strict=True):
             mine = at[lo : lo + len(bundle)]
             lo += len(bundle)
-            ids = flat[gather(first[mine], counts[mine])]
+            ids = _picked(flat, first[mine], counts[mine])
             out.append(_pack(where, _planes(counts[mine]), _planes(ids)))
         del coded, at, words, bundles, places, counts, flat, first
         give_back()
@@ -238,12 +274,14 @@ def decode(coded: DataFrame, model: str) -> DataFrame:
 
 
 def _assemble(table):
-    def run(group: pa.Table) -> pa.Table:
-        """Texts of one block from its positions (kind 0) and its words' ids (1)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of one block from its positions (kind 0) and its words' ids (1), a few at once."""
+        drop_tokenizer()
+        group = pa.Table.from_batches(list(batches))
         kinds = np.array(group.column("kind").to_pylist())
         row = lambda k: np.flatnonzero(kinds == k).tolist()
         (main,) = row(0)
-        keys = group.column("keys")[main].as_py()
+        keys = group.column("keys")[main].values
         per, at, n = _unpack(group.column("data")[main].as_py(), "<i8", "u1", "<i8")
         at, n = _unplanes(at), int(n[0])
         counts, chunks = np.zeros(n, np.int64), []
@@ -251,30 +289,33 @@ def _assemble(table):
             where, got, ids = map(_unplanes, _unpack(group.column("data")[i].as_py(), "u1", "u1", "u1"))
             counts[where] = got
             chunks.append((where, got.astype(np.int64), ids))
+        del group
         first = np.cumsum(counts) - counts
-        flat = np.zeros(int(counts.sum()), np.int64)
+        flat = np.zeros(int(counts.sum()), np.int32)
         for where, got, ids in chunks:
             flat[gather(first[where], got)] = ids
+        del chunks
         names, lens, letters = table.value
         starts = np.cumsum(lens) - lens
         spot = np.searchsorted(names, flat)
         # each distinct word is spelled once, then the words of a text are put in a row
         word_lens = np.add.reduceat(np.append(lens[spot], 0), np.append(first, len(flat)))[:n] if n else np.zeros(0, np.int64)
-        spelt = letters[gather(starts[spot], lens[spot])]
+        spelt = _picked(letters, starts[spot], lens[spot])
+        del spot
         word_first = np.cumsum(word_lens) - word_lens
         edge = np.zeros(len(per) + 1, np.int64)
         np.cumsum(per, out=edge[1:])
-        ids, decoded = [], []
-        for d in range(len(per)):
-            w = at[edge[d] : edge[d + 1]]
-            ids.append(pa.array(flat[gather(first[w], counts[w])].astype(np.int32)))
-            decoded.append(spelt[gather(word_first[w], word_lens[w])].tobytes().decode("utf-8", "replace"))
-        off = np.zeros(len(per) + 1, np.int32)
-        np.cumsum([len(x) for x in ids], out=off[1:])
-        all_ids = pa.concat_arrays(ids) if ids else pa.array([], pa.int32())
-        del chunks, flat, spelt, spot, word_first, word_lens
+        for lo, hi in ranges(edge, TOGETHER):
+            w, inner = at[edge[lo] : edge[hi]], edge[lo : hi + 1] - edge[lo]
+            off = np.append(0, np.cumsum(counts[w]))[inner].astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(off), pa.array(_picked(flat, first[w], counts[w])))
+            cut = np.append(0, np.cumsum(word_lens[w]))[inner].tolist()
+            raw = _picked(spelt, word_first[w], word_lens[w]).tobytes()
+            decoded = [raw[a:b].decode("utf-8", "replace") for a, b in pairwise(cut)]
+            yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), ids, pa.array(decoded, pa.string())], names=["key", "ids", "decoded"])
+            del raw, decoded, ids
+        del at, flat, spelt, counts, first, word_first, word_lens, keys
         give_back()
-        return pa.table({"key": pa.array(keys, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(off), all_ids), "decoded": pa.array(decoded, pa.string())})
 
     return run
 
