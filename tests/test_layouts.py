@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +118,31 @@ def test_one_stage_takes_all_steps(spark, monkeypatch, far):
     assert got == pytest.approx(now.y, rel=1e-6, abs=1e-6)
 
 
+def test_steps_of_one_stage_do_not_wait_for_its_exchange(spark):
+    """A barrier stage's own exchange took half a second or more, whatever the frame's size."""
+    y = np.random.default_rng(4).normal(size=(len(POINTS), 2))
+    rows = frame(spark, POINTS).join(layout(y, spark), ["frame_id", "item_id"])
+    began = time.monotonic()
+    got = descent.descend_blocks(rows, 4.0, 90).orderBy("item_id").toPandas()[["y0", "y1"]].to_numpy()
+    assert time.monotonic() - began < 25
+    assert got == pytest.approx(descent.descend(descent.affinities(POINTS, 4.0), y, 90), rel=1e-4, abs=1e-4)
+
+
+@pytest.mark.parametrize("far", [1.0, 1e6])
+def test_tiles_stand_for_both_orders_of_their_pairs(far):
+    rng = np.random.default_rng(9)
+    y, p = rng.normal(size=(30, 2)) * 5 + np.repeat([[0.0], [far]], [20, 10], 0), rng.random((30, 30))
+    p = p + p.T
+    cuts = [slice(0, 13), slice(13, 26), slice(26, 30)]
+    got = descent._pulls([(a, b, p[a, b]) for k, a in enumerate(cuts) for b in cuts[k:]], y)
+    off = y[:, None] - y
+    num = 1 / (1 + (off**2).sum(2))
+    np.fill_diagonal(num, 0)
+    assert got[30, 0] == pytest.approx(num.sum(), rel=1e-9)
+    for k, w in enumerate((p * num, num**2)):
+        assert got[:30, 2 * k : 2 * k + 2] == pytest.approx((w[:, :, None] * off).sum(1), rel=1e-7, abs=1e-7)
+
+
 def test_layouts_are_centred_and_edges_hold_them(spark):
     x = np.random.default_rng(2).normal(size=(90, 4)) + np.repeat(np.eye(4)[:3] * 6, 30, 0)
     y = x + np.random.default_rng(3).normal(size=x.shape) * 0.2
