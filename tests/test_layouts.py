@@ -143,6 +143,17 @@ def test_tiles_stand_for_both_orders_of_their_pairs(far):
         assert got[:30, 2 * k : 2 * k + 2] == pytest.approx((w[:, :, None] * off).sum(1), rel=1e-7, abs=1e-7)
 
 
+def test_a_joint_descent_over_tasks_is_that_of_one(spark):
+    f, rng = frame(spark, POINTS), np.random.default_rng(6)
+    was = layout(rng.normal(size=(16, 2)), spark).drop("frame_id").cache()
+    links = spark.createDataFrame([(i, (3 * i + 1) % 16, 0.25 * (i % 4)) for i in range(16)], "src long, dst long, weight double")
+    began = time.monotonic()
+    cut = descent.joint_layout(f, descent.initial(f), was, links, 4.0, 0.1, 60, 3).orderBy("item_id").toPandas()
+    assert time.monotonic() - began < 25  # no step waits for the stage's exchange
+    whole = descent.joint_layout(f, descent.initial(f), was, links, 4.0, 0.1, 60).orderBy("item_id").toPandas()
+    assert cut[["y0", "y1"]].to_numpy() == pytest.approx(whole[["y0", "y1"]].to_numpy(), rel=1e-4, abs=1e-4)
+
+
 def test_layouts_are_centred_and_edges_hold_them(spark):
     x = np.random.default_rng(2).normal(size=(90, 4)) + np.repeat(np.eye(4)[:3] * 6, 30, 0)
     y = x + np.random.default_rng(3).normal(size=x.shape) * 0.2
