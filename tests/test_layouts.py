@@ -5,11 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.config import Config, load
-from weftline.operators import affinity, descent
+from weftline.operators import affinity, descent, tiles
 from weftline.operators import frames as fr
-from weftline.plans import pipeline
+from weftline.plans import catalog, pipeline
 from weftline.sources import text as files
 
+ROUNDED_PAIRS = ["pairwise_sqdist"]
 RNG = np.random.default_rng(11)
 POINTS = np.concatenate([RNG.normal(size=(8, 3)), RNG.normal(size=(8, 3)) + 4])
 
@@ -154,6 +155,31 @@ def test_a_joint_descent_over_tasks_is_that_of_one(spark):
     assert cut[["y0", "y1"]].to_numpy() == pytest.approx(whole[["y0", "y1"]].to_numpy(), rel=1e-4, abs=1e-4)
 
 
+def test_kernels_round_as_spark_does(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=2000), rng.integers(-999, 999, 500) / 8, rng.integers(0, 99999, 500) * 10 + 5, np.arange(500) * 1e-3 + 5e-4, rng.normal(size=50) * 1e13, [0.0, -0.0, -1e-9, 2.5e-7, 1e300, 1e-300, np.nan, np.inf, -np.inf]])
+    x = np.concatenate([x, x * 1e-6, x * 1e-9])
+    for part in (x, x[np.abs(x) < 1e5]):  # with numbers that have no such digits, and without
+        for digits in (3, 6, 9, 11):
+            want = spark.createDataFrame([(i, float(v)) for i, v in enumerate(part)], "k int, x double").select("k", (F.round("x", digits) + F.lit(0.0)).alias("x")).orderBy("k").toPandas()["x"].to_numpy()
+            got = tiles.rounded(part, digits)
+            assert ((got == want) | (np.isnan(got) & np.isnan(want))).all()
+            assert not np.signbit(got[got == 0]).any()
+
+
+def test_rounded_distances_are_those_of_differences():
+    rng = np.random.default_rng(13)
+    for x in (rng.integers(0, 4, (90, 6)) / np.sqrt(8e3), rng.normal(size=(90, 6)) * 1e4, rng.integers(0, 9, (90, 6)) / 2000.0):
+        x[5] = x[7]
+        assert (affinity.rounded_squares(x[:40], x, 6) == tiles.rounded(affinity.direct(x[:40], x), 6)).all()
+
+
+def test_rounding_of_pairs_is_not_left_to_spark(spark, data):
+    """Spark rounds by way of decimals, which took longer than all else."""
+    for name in ROUNDED_PAIRS:
+        assert "round(" not in catalog.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_layouts_are_centred_and_edges_hold_them(spark):
     x = np.random.default_rng(2).normal(size=(90, 4)) + np.repeat(np.eye(4)[:3] * 6, 30, 0)
     y = x + np.random.default_rng(3).normal(size=x.shape) * 0.2
