@@ -10,7 +10,7 @@ from weftline.operators import frames as fr
 from weftline.plans import catalog, pipeline
 from weftline.sources import text as files
 
-ROUNDED_PAIRS = ["pairwise_sqdist", "conditional_p", "joint_p"]
+ROUNDED_PAIRS = ["pairwise_sqdist", "conditional_p", "joint_p", "student_q"]
 RNG = np.random.default_rng(11)
 POINTS = np.concatenate([RNG.normal(size=(8, 3)), RNG.normal(size=(8, 3)) + 4])
 
