@@ -180,6 +180,17 @@ def test_rounding_of_pairs_is_not_left_to_spark(spark, data):
         assert "round(" not in catalog.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_folds_move_no_distances(spark, data):
+    rng = np.random.default_rng(14)
+    points = frame(spark, np.concatenate([rng.normal(size=(120, 4)), rng.normal(size=(30, 4)) * 1e3, np.zeros((20, 4))]).tolist())
+    want = {r["i"]: r["beta"] for r in affinity.folded_rows(affinity.distance_rows(points), 10.0).collect()}
+    got = {r["i"]: r["beta"] for r in affinity.betas_by_folds(points, 10.0).collect()}
+    assert len(got) == 170 and got == pytest.approx(want, rel=1e-9)
+    assert affinity.betas_by_folds(points.limit(1), 10.0).count() == 0
+    plan = catalog.QUERIES["perplexity_beta_folds"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan  # folds of expressions took microseconds a distance
+
+
 def test_layouts_are_centred_and_edges_hold_them(spark):
     x = np.random.default_rng(2).normal(size=(90, 4)) + np.repeat(np.eye(4)[:3] * 6, 30, 0)
     y = x + np.random.default_rng(3).normal(size=x.shape) * 0.2
