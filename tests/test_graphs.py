@@ -1,5 +1,7 @@
+import collections
 import itertools
 import math
+import time
 import tracemalloc
 
 import numpy as np
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import frames as fr
-from weftline.operators import graph, graphlets, knn, matching, profiles
+from weftline.operators import graph, graphlets, knn, matching, profiles, walks
 
 
 def frame(spark, points, labels=None, frame_id=0):
@@ -260,3 +262,41 @@ def test_walks_share_the_length_of_a_component(spark, monkeypatch):
     sizes = {0: 3, 2: 4, 8: 5}
     assert {r["gtype"] for r in got} == set(sizes) and len({(r["item_id"], r["gtype"]) for r in got}) == len(got)
     assert sum(r["cnt"] / sizes[r["gtype"]] for r in got) == pytest.approx(40 * 50)
+
+
+def test_lanes_count_and_draw_the_moves():
+    rng = np.random.default_rng(1)
+    linked = {tuple(sorted(rng.choice(40, 2, replace=False).tolist())) for _ in range(90)} | {(0, k) for k in range(1, 30)}
+    u, v = np.array(sorted(linked)).T
+    near = {i: set() for i in range(40)}
+    for a, b in linked:
+        near[a].add(b)
+        near[b].add(a)
+    starts = [graphlets._first(k % 40, lambda n: sorted(near[n])) for k in range(60)]
+    lanes = walks.Lanes(40, u, v, [s for s in starts if len(s) == 4], graphlets._shape)
+    sets = lambda nodes: [frozenset(int(x) for x in r if x >= 0) for r in nodes]
+    for _ in range(25):
+        before = sets(lanes.nodes)
+        assert lanes.moves.tolist() == [len(graphlets._moves(s, near)) for s in before]
+        assert lanes.kinds[lanes.code(lanes.links), lanes.used].tolist() == [graphlets._shape(s, near) for s in before]
+        nodes, used, links, away = lanes.draw(len(before), rng)
+        assert all(new in graphlets._moves(s, near) if gone else new == s for s, new, gone in zip(before, sets(nodes), away, strict=True))
+        lanes.nodes, lanes.used, lanes.links = nodes, used, links
+        lanes.moves = lanes.count(nodes, used, links)
+    one = walks.Lanes(40, u, v, [starts[5]] * 20000, graphlets._shape)
+    moves = collections.Counter(graphlets._moves(frozenset(starts[5]), near))
+    got = collections.Counter(sets(one.draw(20000, rng)[0]))
+    each = 20000 / sum(moves.values())
+    assert got.keys() == moves.keys() and sum((got[s] - each * k) ** 2 / each / k for s, k in moves.items()) < 1.5 * len(moves)
+
+
+def test_many_short_walks_cost_little(spark):
+    """Sets around a hub were counted one by one, at about 0.1 ms a step."""
+    rng = np.random.default_rng(2)
+    hub = [(0, k) for k in range(1, 600)] + [(k, int(rng.integers(1, k))) for k in range(2, 600)] + [(1000 + 4 * k + a, 1000 + 4 * k + b) for k in range(50) for a, b in ((0, 1), (1, 2), (2, 3))]
+    began = time.monotonic()
+    got = graphlets.sampled_counts(edges(spark, hub), 3000, 3).collect()
+    assert time.monotonic() - began < 45
+    sizes = {k: 3 if k < 2 else 4 if k < 8 else 5 for k in range(29)}
+    assert sum(r["cnt"] / sizes[r["gtype"]] for r in got) == pytest.approx(800 * 3000)
+    assert sum(r["cnt"] / sizes[r["gtype"]] for r in got if r["item_id"] >= 1000) == pytest.approx(200 * 3000)
